@@ -74,3 +74,24 @@ def pick_one(
         return requests.join(df.limit(0), F.lit(False), "left")
     drawn = requests.withColumn("_pos", F.floor(draw(request, seed) * F.lit(total)).cast("long"))
     return drawn.join(sized(numbered, total), "_pos").drop("_pos")
+
+
+def running_sum(
+    df: DataFrame, value: str, order: Sequence[Column], group: Sequence[str], name: str = "running",
+    partitions: int | None = None,
+) -> DataFrame:
+    """Running total of ``value`` in ``order`` within each ``group``.
+
+    Slices are summed on their own and shifted, as in ``dense_positions``.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(g) for g in group]
+    placed = cut(df.repartitionByRange(n, *keys, *order).withColumn("_slice", F.spark_partition_id()))
+    before = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    sums = placed.groupBy(*group, "_slice").agg(F.sum(value).alias("_s"))
+    shift = sums.select(*group, "_slice", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_shift"))
+    inner = W.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return (
+        placed.withColumn("_in", F.sum(value).over(inner)).join(shift, [*group, "_slice"])
+        .withColumn(name, F.col("_in") + F.col("_shift")).drop("_slice", "_in", "_shift")
+    )
