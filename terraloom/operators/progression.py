@@ -52,12 +52,12 @@ UPGRADE_FAMILIES = [
 SINGLE_UPGRADES = [
     ("taxi_license", [], 20, 500, "increment", "categoryUnlock", 1),
     ("certified_courier", [], 35, 1000, "increment", "categoryUnlock", 1),
+    ("tough_guy", [], 50, 4000, "increment", "categoryUnlock", 1),
     ("slightly_tipsy", [], 70, 2000, "increment", "categoryUnlock", 1),
     ("hazmat_suit", [], 90, 8000, "increment", "categoryUnlock", 1),
     ("roadspeed_cap", ["unlock_compact_car", "speed_5"], 99, 150000, "increment", "roadSpeedMin", 120),
 ]
-# The one construction licence and what a first step needs.
-CONSTRUCTION_UPGRADE = ("tough_guy", [], 50, 1500, "increment", "categoryUnlock", 1)
+# What the first step of a family needs.
 FIRST_STEP_REQUIRES = {"start_veh": ["unlock_scooter"]}
 
 
@@ -66,7 +66,7 @@ def upgrade_rows() -> list[tuple]:
     for i, v in enumerate(VEHICLES[1:], start=1):
         needs = [f"unlock_{VEHICLES[i - 1][0]}"] if i > 1 else []
         rows.append((f"unlock_{v[0]}", needs, {"total": v[8]}, float(v[7]), "set", "vehicleLevelMax", float(v[1])))
-    for uid, needs, level, cost, kind, name, amount in SINGLE_UPGRADES + [CONSTRUCTION_UPGRADE]:
+    for uid, needs, level, cost, kind, name, amount in SINGLE_UPGRADES:
         rows.append((uid, needs, {"total": level}, float(cost), kind, name, float(amount)))
     for prefix, kind, name, steps in UPGRADE_FAMILIES:
         for n, (cost, amount, levels) in enumerate(steps, start=1):
