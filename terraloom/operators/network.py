@@ -152,7 +152,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     smallest neighbour by a combining aggregate and an equi join, so a hub is
     split by adaptive skew handling and no neighbour list is ever collected.
     """
-    work = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct()
+    given = cut(edges.select("src", "dst"))
+    work = given.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct()
     mark = dict(mark=F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")))
     work, last = cut_with(work, **mark)
     for _ in range(max_rounds):
@@ -175,7 +176,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     # Now every edge joins a node to its root.
     roots = work.select(F.col("v").alias("node_id"), F.col("v").alias("component")).distinct()
     linked = work.select(F.col("u").alias("node_id"), F.col("v").alias("component"))
-    touched = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    touched = given.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
     alone = touched.join(linked.unionByName(roots), "node_id", "left_anti")
     return linked.unionByName(roots).unionByName(alone.select("node_id", F.col("node_id").alias("component")))
 
