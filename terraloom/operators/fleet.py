@@ -254,7 +254,7 @@ def accept(active: DataFrame, choices: DataFrame, as_of: Column) -> DataFrame:
     by_job = one.groupBy("job_id").agg(F.min(first).alias("_j")).where("job_id is not null").select(F.col("_j.active_id").alias("active_id"))
     free = one.where("job_id is null").select("active_id")
     won = cand.join(by_job.unionByName(free), "active_id", "left_semi")
-    started = active.join(won.select("active_id"), "active_id", "left_semi").withColumn("start_time", as_of.cast("timestamp"))
+    started = active.join(won.select("active_id"), "active_id", "left_semi").withColumn("start_time", as_of.cast(active.schema["start_time"].dataType))
     rest = active.join(won.select("active_id"), "active_id", "left_anti")
     rest = rest.join(won.select("employee_id"), "employee_id", "left_anti")
     rest = rest.join(won.where("job_id is not null").select("job_id"), "job_id", "left_anti")

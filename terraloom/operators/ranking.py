@@ -29,20 +29,20 @@ def dense_positions(
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g) for g in group]
     # Written once: the range bounds are sampled and must not be drawn twice.
-    placed = cut(df.repartitionByRange(n, *keys, *order).withColumn("_slice", F.spark_partition_id()))
-    sizes = placed.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    placed = cut(df.repartitionByRange(n, *keys, *order).withColumn("_pos_slice", F.spark_partition_id()))
+    sizes = placed.groupBy(*group, "_pos_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
-    before = before.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    before = before.orderBy("_pos_slice").rowsBetween(W.unboundedPreceding, -1)
     # One row per group and slice; without groups at most ``n`` rows.
-    shift = sizes.select(*group, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    shift = sizes.select(*group, "_pos_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_pos_shift"))
     if not group:
         shift = F.broadcast(shift)
-    inner = W.partitionBy(*group, "_slice").orderBy(*order)
+    inner = W.partitionBy(*group, "_pos_slice").orderBy(*order)
     return (
-        placed.withColumn("_at", F.row_number().over(inner))
-        .join(shift, [*group, "_slice"])
-        .withColumn(name, F.col("_at") + F.col("_shift") + F.lit(start - 1))
-        .drop("_slice", "_at", "_shift")
+        placed.withColumn("_pos_at", F.row_number().over(inner))
+        .join(shift, [*group, "_pos_slice"])
+        .withColumn(name, F.col("_pos_at") + F.col("_pos_shift") + F.lit(start - 1))
+        .drop("_pos_slice", "_pos_at", "_pos_shift")
     )
 
 
@@ -86,12 +86,12 @@ def running_sum(
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g) for g in group]
-    placed = cut(df.repartitionByRange(n, *keys, *order).withColumn("_slice", F.spark_partition_id()))
-    before = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    sums = placed.groupBy(*group, "_slice").agg(F.sum(value).alias("_s"))
-    shift = sums.select(*group, "_slice", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_shift"))
-    inner = W.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = cut(df.repartitionByRange(n, *keys, *order).withColumn("_pos_slice", F.spark_partition_id()))
+    before = W.partitionBy(*group).orderBy("_pos_slice").rowsBetween(W.unboundedPreceding, -1)
+    sums = placed.groupBy(*group, "_pos_slice").agg(F.sum(value).alias("_s"))
+    shift = sums.select(*group, "_pos_slice", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_pos_shift"))
+    inner = W.partitionBy(*group, "_pos_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
-        placed.withColumn("_in", F.sum(value).over(inner)).join(shift, [*group, "_slice"])
-        .withColumn(name, F.col("_in") + F.col("_shift")).drop("_slice", "_in", "_shift")
+        placed.withColumn("_in", F.sum(value).over(inner)).join(shift, [*group, "_pos_slice"])
+        .withColumn(name, F.col("_in") + F.col("_pos_shift")).drop("_pos_slice", "_in", "_pos_shift")
     )

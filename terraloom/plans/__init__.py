@@ -1 +1,6 @@
+"""Registered queries over the test tables."""
 
+
+def load_all() -> None:
+    """Import every query module so that its queries are registered."""
+    from . import logistics, roads, spatial  # noqa: F401

@@ -237,7 +237,7 @@ def purchases(spark, sf) -> DataFrame:
     ids = [r[0] for r in upgrade_rows()]
     return e.select(
         F.col("event_id").alias("request_id"), F.col("user_id").alias("game_id"),
-        _pick(ids, (F.col("event_id") * 7) % len(ids)).alias("upgrade_id"), F.unix_micros("ts").alias("seq"),
+        _pick(ids, (F.col("event_id") * 7) % len(ids)).alias("upgrade_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"),
     )
 
 
