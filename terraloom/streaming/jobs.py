@@ -23,7 +23,7 @@ class _Settle(StatefulProcessor):
         self.handle = handle
         self.pending = handle.getMapState("pending", "active_id bigint", _PENDING)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for df in rows:
             for r in df.itertuples(index=False):
                 start_us = int(pd.Timestamp(r.start_time).value // 1000)
@@ -33,8 +33,8 @@ class _Settle(StatefulProcessor):
                 self.handle.registerTimer(-(-due_us // 1000))
         yield from ()
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        now_us = expired.getExpiryTimeInMs() * 1000
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now_us = expiredTimerInfo.getExpiryTimeInMs() * 1000
         due = [v for _k, v in self.pending.iterator() if v[3] <= now_us]
         for v in due:
             self.pending.removeKey((v[0],))
