@@ -64,6 +64,41 @@ def square_annulus(df: DataFrame, lat0: float, lon0: float, min_km: float, max_k
     return df.where(box(max_km) & ~box(min_km))
 
 
+class PointOrder:
+    """Points numbered along a space-filling curve, with cell tables by level.
+
+    Any aligned grid cell is a run of positions, so one ordering serves every
+    band and every round of draws.
+    """
+
+    def __init__(self, points: DataFrame, key: str = "id", lat: str = "lat", lon: str = "lon"):
+        cx, cy = geo.morton_xy("lat", "lon")
+        spots = points.select(
+            F.col(key).alias("pid"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")
+        ).withColumn("z", geo.morton(cx, cy))
+        order = [F.col("z"), F.col("lat"), F.col("lon"), F.col("pid")]
+        self.placed, seen = cut_with(dense_positions(spots, order, name="pos"))
+        self.rows = seen["rows"]
+        self._blocks: dict[int, tuple[DataFrame, int]] = {}
+
+    def members(self) -> DataFrame:
+        return sized(self.placed.select("pos", "pid", F.col("lat").alias("plat"), F.col("lon").alias("plon")), self.rows)
+
+    def blocks(self, levels: list[int]) -> DataFrame:
+        """Occupied cells of the levels in blocks of 16 x 16, one row a block."""
+        new = [l for l in levels if l not in self._blocks]
+        if new:
+            made, seen = cut_with(_cell_sizes(self.placed, new).groupBy(
+                "lvl", F.shiftright("x", 4).alias("bx"), F.shiftright("y", 4).alias("by")
+            ).agg(F.collect_list(F.struct("x", "y", "code", "start", "n")).alias("cells")))
+            for l in new:
+                self._blocks[l] = (made.where(F.col("lvl") == l), seen["rows"])
+        out = None
+        for l in levels:
+            out = self._blocks[l][0] if out is None else out.unionByName(self._blocks[l][0])
+        return sized(out, sum(self._blocks[l][1] for l in levels) * 64)
+
+
 def _level_for(dlat: float) -> int:
     """Finest world-grid level whose cells still reach a quarter of the box."""
     level = 1
@@ -74,7 +109,7 @@ def _level_for(dlat: float) -> int:
 
 def pick_in_band(
     requests: DataFrame,
-    points: DataFrame,
+    points: DataFrame | PointOrder,
     bands: dict[int, tuple[float, float]],
     request: str = "request_id",
     band: str = "tier",
@@ -116,10 +151,7 @@ def pick_in_band(
         "ilon": geo.east_degrees("qlat", F.col("lo")), "olon": geo.east_degrees("qlat", F.col("hi")),
     })
     open_, seen = cut_with(ids)
-    cx, cy = geo.morton_xy("lat", "lon")
-    spots = points.select(F.col(key).alias("pid"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
-    spots = spots.withColumn("z", geo.morton(cx, cy))
-    placed, placed_seen = cut_with(dense_positions(spots, [F.col("z"), F.col("lat"), F.col("lon"), F.col("pid")], name="pos"))
+    order = points if isinstance(points, PointOrder) else PointOrder(points, key, lat, lon)
 
     def accepted(plat: Column, plon: Column) -> Column:
         if shape == "circle":
@@ -132,7 +164,7 @@ def pick_in_band(
     for turn in range(refine):
         lv = {b: min(l + 3 * turn, geo.MORTON_BITS) for b, l in levels.items()}
         lvl = F.create_map(*[F.lit(x) for kv in lv.items() for x in kv])[F.col("band")]
-        here, here_seen = cut_with(_with_runs(open_.withColumn("lvl", lvl), placed, sorted(set(lv.values())), turn > 0, shape))
+        here, here_seen = cut_with(_with_runs(open_.withColumn("lvl", lvl), order, sorted(set(lv.values())), turn > 0, shape))
         if here_seen["rows"] == 0:
             open_, open_rows = here.select(*open_.columns), 0
             break
@@ -142,9 +174,7 @@ def pick_in_band(
         draws = draws.withColumn("_r", r)
         run = F.element_at(F.filter("runs", lambda c: c["cum"] + c["n"] > F.col("_r")), 1)
         draws = draws.withColumn("pos", (run["start"] + F.col("_r") - run["cum"]).cast("long")).drop("runs", "_r")
-        met = draws.join(
-            sized(placed.select("pos", "pid", F.col("lat").alias("plat"), F.col("lon").alias("plon")), placed_seen["rows"]), "pos"
-        ).where(accepted(F.col("plat"), F.col("plon")))
+        met = draws.join(order.members(), "pos").where(accepted(F.col("plat"), F.col("plon")))
         won, won_seen = cut_with(met.groupBy("rid").agg(F.min(F.struct("try", "pid", "plat", "plon")).alias("p")))
         part = won.select("rid", "p.pid", "p.plat", "p.plon")
         result = part if result is None else result.unionByName(part)
@@ -157,42 +187,46 @@ def pick_in_band(
         if open_rows == 0:
             break
     if open_rows:
-        part = _pick_by_location(open_, placed, placed_seen["rows"], {
+        part = _pick_by_location(open_, order, {
             b: min(l + 3 * (refine - 1), geo.MORTON_BITS) for b, l in levels.items()
         }, accepted, shape, seed)
         result = part if result is None else result.unionByName(part)
     if result is None:
-        result = placed.limit(0).select(F.lit(0).alias("rid"), "pid", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+        result = order.placed.limit(0).select(F.lit(0).alias("rid"), "pid", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
     return result.select(
         F.col("rid").alias(request), F.col("pid").alias("picked_id"), F.col("plat").alias("picked_lat"), F.col("plon").alias("picked_lon")
     )
 
 
 def _cell_sizes(placed: DataFrame, levels: list[int]) -> DataFrame:
-    """(lvl, code, x, y, start, n) of occupied cells at the given levels."""
-    out = None
-    for l in levels:
-        shift = geo.MORTON_BITS - l
-        cx, cy = geo.morton_xy("lat", "lon")
-        one = placed.groupBy(
-            F.lit(l).alias("lvl"), F.shiftright("z", 2 * shift).alias("code"),
-            F.shiftright(cx, shift).alias("x"), F.shiftright(cy, shift).alias("y"),
-        ).agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(lvl, code, x, y, start, n) of occupied cells at the given levels.
+
+    Points are counted at the finest level only; coarser cells add those up.
+    """
+    finest = max(levels)
+    shift = geo.MORTON_BITS - finest
+    cx, cy = geo.morton_xy("lat", "lon")
+    fine = placed.groupBy(
+        F.shiftright("z", 2 * shift).alias("code"), F.shiftright(cx, shift).alias("x"), F.shiftright(cy, shift).alias("y")
+    ).agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("n"))
+    at = F.array(*[
+        F.struct(
+            F.lit(l).alias("lvl"), F.shiftright("code", 2 * (finest - l)).alias("code"),
+            F.shiftright("x", finest - l).alias("x"), F.shiftright("y", finest - l).alias("y"),
+        ) for l in levels
+    ])
+    return fine.select(F.inline(at), "start", "n").groupBy("lvl", "code", "x", "y").agg(
+        F.min("start").alias("start"), F.sum("n").alias("n")
+    )
 
 
-def _band_cells(open_: DataFrame, placed: DataFrame, levels: list[int], tight: bool, shape: str) -> DataFrame:
+def _band_cells(open_: DataFrame, order: PointOrder, levels: list[int], tight: bool, shape: str) -> DataFrame:
     """Requests with ``cells``, the occupied cells meeting their band.
 
     Cells are joined in blocks of 16 x 16, one row a block; a request's outer
     box spans few blocks because cells scale with the band. The rows of one
     request are not brought together yet.
     """
-    sizes = _cell_sizes(placed, levels)
-    blocks, seen = cut_with(sizes.groupBy(
-        "lvl", F.shiftright("x", 4).alias("bx"), F.shiftright("y", 4).alias("by")
-    ).agg(F.collect_list(F.struct("x", "y", "code", "start", "n")).alias("cells")))
     n = F.pow(F.lit(2.0), F.col("lvl"))
     def col_of(v: Column) -> Column:
         return F.least(F.greatest(F.floor((v + 180.0) / 360.0 * n), F.lit(0)), n - 1).cast("long")
@@ -218,13 +252,13 @@ def _band_cells(open_: DataFrame, placed: DataFrame, levels: list[int], tight: b
             & (c["y"] * h - 90.0 >= F.col("qlat") - F.col("ilat") * f) & ((c["y"] + 1) * h - 90.0 <= F.col("qlat") + F.col("ilat") * f)
         )
 
-    met = q.join(sized(blocks, seen["rows"] * 64), ["lvl", "bx", "by"]).withColumn("cells", F.filter("cells", meets))
+    met = q.join(order.blocks(levels), ["lvl", "bx", "by"]).withColumn("cells", F.filter("cells", meets))
     return met.where(F.size("cells") > 0).select(*open_.columns, "cells")
 
 
-def _with_runs(open_: DataFrame, placed: DataFrame, levels: list[int], tight: bool, shape: str) -> DataFrame:
+def _with_runs(open_: DataFrame, order: PointOrder, levels: list[int], tight: bool, shape: str) -> DataFrame:
     """Requests with their cells as runs of positions and the total in them."""
-    cells = _band_cells(open_, placed, levels, tight, shape).withColumn(
+    cells = _band_cells(open_, order, levels, tight, shape).withColumn(
         "cells", F.transform("cells", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n")))
     )
     # Cells of one request are bounded by geometry, not by points.
@@ -241,7 +275,7 @@ def _with_runs(open_: DataFrame, placed: DataFrame, levels: list[int], tight: bo
 
 
 def _pick_by_location(
-    open_: DataFrame, placed: DataFrame, placed_rows: int, lvl: dict[int, int], accepted, shape: str, seed: int
+    open_: DataFrame, order: PointOrder, lvl: dict[int, int], accepted, shape: str, seed: int
 ) -> DataFrame:
     """Exact pick for the last requests, by comparing distinct locations.
 
@@ -250,11 +284,11 @@ def _pick_by_location(
     """
     lvl_of = F.create_map(*[F.lit(x) for kv in lvl.items() for x in kv])[F.col("band")]
     levels = sorted(set(lvl.values()))
-    cells = _band_cells(open_.withColumn("lvl", lvl_of), placed, levels, True, shape)
+    cells = _band_cells(open_.withColumn("lvl", lvl_of), order, levels, True, shape)
     pairs = cells.withColumn("code", F.explode(F.transform("cells", lambda c: c["code"]))).drop("cells")
     spots = None
     for l in levels:
-        one = placed.groupBy(
+        one = order.placed.groupBy(
             F.lit(l).alias("lvl"), F.shiftright("z", 2 * (geo.MORTON_BITS - l)).alias("code"),
             F.col("lat").alias("plat"), F.col("lon").alias("plon"),
         ).agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("n"))
@@ -263,8 +297,7 @@ def _pick_by_location(
     draw = -F.log(F.lit(1.0) - unit_hash(["rid", "plat", "plon"], seed)) / F.col("n")
     best = met.groupBy("rid").agg(F.min_by(F.struct("start", "n"), draw).alias("s"))
     pos = (F.col("s.start") + F.floor(unit_hash("rid", seed + 77) * F.col("s.n"))).cast("long")
-    members = placed.select("pos", "pid", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    return best.select("rid", pos.alias("pos")).join(sized(members, placed_rows), "pos").select("rid", "pid", "plat", "plon")
+    return best.select("rid", pos.alias("pos")).join(order.members(), "pos").select("rid", "pid", "plat", "plon")
 
 
 def random_destination(

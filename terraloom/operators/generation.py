@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.hashing import unit_hash
 from ..scratch import cut, cut_with
-from .annulus import pick_in_band
+from .annulus import PointOrder, pick_in_band
 from .fleet import without_jobs
 from .routing import shortest_paths, snap
 from .sampling import MAX_TIER, TIER_RANGES_KM, category_for, tier_of
@@ -65,6 +65,7 @@ def generate_jobs(
         todo = todo.orderBy("id").limit(limit)
     todo, seen = cut_with(todo.withColumn("forced", F.lit(None).cast("int")))
     jobs, rejects = None, None
+    order = PointOrder(base) if seen["rows"] else None
 
     def more(acc: DataFrame | None, df: DataFrame) -> DataFrame:
         return df if acc is None else acc.unionByName(df)
@@ -74,7 +75,7 @@ def generate_jobs(
             break
         s = seed + 7919 * attempt
         drawn = cut(todo.withColumn("tier", F.coalesce("forced", tier_of(unit_hash("id", s + 1, method)))))
-        picked = pick_in_band(drawn, base, ranges, request="id", band="tier", seed=s + 2, method=method)
+        picked = pick_in_band(drawn, order, ranges, request="id", band="tier", seed=s + 2, method=method)
         with_end = cut(drawn.join(picked, "id", "left"))
         trips = with_end.where("picked_id is not null").select(
             "id", F.col("lat").alias("from_lat"), F.col("lon").alias("from_lon"),
