@@ -290,7 +290,18 @@ def _(spark, sf):
     return e.select("game_id", "effect", F.round("value", 6).alias("value"))
 
 
-@query("apply_purchases")
+REPLAY = (
+    f"ask AS (SELECT event_id AS request_id, user_id AS game_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, (event_id * 7) % {len(U)} AS ix FROM events), "
+    "step AS (SELECT a.*, e.upgrade_id, e.req, e.cost, e.levels_met FROM ask a JOIN el e ON e.game_id = a.game_id AND e.ix = a.ix), "
+    "rec(game_id, rn, request_id, upgrade_id, status, money, owned) AS (SELECT game_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), money, CAST([] AS VARCHAR[]) FROM tot UNION ALL "
+    "SELECT game_id, rn, request_id, upgrade_id, st, CASE WHEN st = 'bought' THEN money - cost ELSE money END, CASE WHEN st = 'bought' THEN list_append(owned, upgrade_id) ELSE owned END FROM "
+    "(SELECT s.game_id, s.rn, s.request_id, s.upgrade_id, s.cost, r.money, r.owned, CASE WHEN list_contains(r.owned, s.upgrade_id) THEN 'already bought' WHEN NOT list_has_all(r.owned, s.req) THEN 'requirements' "
+    "WHEN NOT s.levels_met THEN 'level' WHEN r.money < s.cost THEN 'funds' ELSE 'bought' END AS st FROM rec r JOIN step s ON s.game_id = r.game_id AND s.rn = r.rn + 1)) "
+)
+
+
+@query("apply_purchases", with_("ugame", "SELECT").removesuffix(" SELECT").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + UPG + ", " + ELIG + ", " + REPLAY +
+       "SELECT request_id, game_id, upgrade_id, status FROM rec WHERE rn > 0")
 def _(spark, sf):
     _games, outcomes = PG.apply_purchases(D.user_games(spark, sf), D.purchases(spark, sf), PG.upgrade_table(spark))
     return outcomes.select("request_id", "game_id", "upgrade_id", "status")
@@ -305,7 +316,19 @@ def vehicle_setup(spark, sf):
     return e, g, r
 
 
-@query("apply_vehicle_purchases")
+VEHICLE_REPLAY = (
+    "WITH RECURSIVE " + "veh AS (SELECT * FROM (VALUES " + ", ".join(f"({v[1]}, {v[6]}e0, {v[9]})" for v in FL.VEHICLES) + ") v(target, cost, need)), "
+    f"emp AS (SELECT DISTINCT user_id AS employee_id, user_id % 25 AS game_id, CAST(user_id % 4 AS INTEGER) AS lvl, {level('user_id * 30000')} AS xl FROM events), "
+    "ask AS (SELECT event_id AS request_id, user_id AS employee_id, user_id % 25 AS game_id, row_number() OVER (PARTITION BY user_id % 25 ORDER BY ts, event_id) AS rn FROM events), "
+    "rec(game_id, rn, request_id, employee_id, target, cost, ok, money, lv) AS (SELECT game_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 0, 0e0, false, 25000e0 + game_id * 1000, map_from_entries(list((employee_id, lvl))) FROM emp GROUP BY game_id UNION ALL "
+    "SELECT game_id, rn, request_id, employee_id, nxt, c, coalesce(good, false), CASE WHEN good THEN money - c ELSE money END, CASE WHEN good THEN map_concat(lv, map([employee_id], [nxt])) ELSE lv END FROM "
+    "(SELECT q.*, floor(v.cost * (1 - 0.1e0)) AS c, nxt <= 12 AND v.cost > 0 AND xl >= v.need AND money >= floor(v.cost * (1 - 0.1e0)) AS good FROM "
+    "(SELECT a.*, r.money, r.lv, e.xl, r.lv[a.employee_id] + 1 AS nxt FROM rec r JOIN ask a ON a.game_id = r.game_id AND a.rn = r.rn + 1 JOIN emp e ON e.employee_id = a.employee_id) q LEFT JOIN veh v ON v.target = nxt)) "
+    "SELECT request_id, employee_id, game_id, target, cost FROM rec WHERE ok"
+)
+
+
+@query("apply_vehicle_purchases", VEHICLE_REPLAY)
 def _(spark, sf):
     _e, _g, bought = PG.apply_vehicle_purchases(*vehicle_setup(spark, sf))
     return bought

@@ -462,7 +462,19 @@ def trips_near_roads(spark, sf, nodes):
     return out.select("request_id", (F.col("from_lat") + 1e-5).alias("from_lat"), "from_lon", "to_lat", (F.col("to_lon") + 1e-5).alias("to_lon"))
 
 
-@query("travel_time")
+WAY_TRIPS = (
+    "mt AS (SELECT way_id AS request_id, arg_min(node_id, pos) AS a, arg_max(node_id, pos) AS b FROM refs JOIN way w ON w.id = way_id WHERE w.highway IS NOT NULL GROUP BY 1 HAVING count(*) >= 2), "
+    "one AS (SELECT src, dst, min(distance_m) AS distance_m, arg_min(distance_m * 3600000 // (least(speed_kmh, 60) * 1000), arc_id) AS ms FROM arc GROUP BY 1, 2), "
+    "sp(source, node_id, d, ms, hops) USING KEY (source, node_id) AS (SELECT DISTINCT a, a, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0 FROM mt UNION "
+    "SELECT s.source, o.dst, min(s.d + o.distance_m), arg_min(s.ms + o.ms, s.d + o.distance_m), arg_min(s.hops + 1, s.d + o.distance_m) FROM sp s JOIN one o ON o.src = s.node_id "
+    "LEFT JOIN recurring.sp k ON k.source = s.source AND k.node_id = o.dst WHERE k.d IS NULL OR s.d + o.distance_m < k.d GROUP BY 1, 2), "
+    f"leg AS (SELECT mt.*, {hav(lat_of('a') + ' + 1e-5', lon_of('a'), lat_of('a'), lon_of('a'))} AS wa, {hav(lat_of('b'), lon_of('b') + ' + 1e-5', lat_of('b'), lon_of('b'))} AS wb FROM mt) "
+)
+
+
+@query("travel_time", with_("refs way pair road_pair", "SELECT").removesuffix(" SELECT").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + ARC + ", " + WAY_TRIPS +
+       "SELECT request_id, CAST(ms + floor(wa * 1000e0 / 1.67e0) + floor(wb * 1000e0 / 1.67e0) AS BIGINT) AS travel_ms, CAST(d + floor(wa + wb) AS BIGINT) AS distance_m, CAST(hops AS INTEGER) AS hops "
+       "FROM leg JOIN sp ON sp.source = a AND sp.node_id = b")
 def _(spark, sf):
     from ..scratch import cut
     g, n = cut(arcs(spark, sf)), cut(road_nodes(spark, sf))
