@@ -14,21 +14,26 @@ from .ranking import dense_positions
 from .ways import direction, profile_speed, routable
 
 
-def way_pairs(ways: DataFrame, nodes: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def way_pairs(ways: DataFrame, nodes: DataFrame, keep: list[str] | None = None, positions: bool = False) -> DataFrame:
     """Consecutive located nodes along each way: way_id, seq, src, dst.
 
     References to missing nodes are dropped first and the neighbours on both
-    sides become consecutive.
+    sides become consecutive. ``keep`` names way columns to carry along;
+    ``positions`` adds lat1, lon1, lat2, lon2 from the same node join.
     """
     keep = keep or []
-    spots = located_nodes(nodes).select(F.col("id").alias("node_id"))
-    found = way_members(ways.where(F.size("refs") >= 2)).join(spots, "node_id")
+    at = ["lat", "lon"] if positions else []
+    spots = located_nodes(nodes).select(F.col("id").alias("node_id"), *at)
+    used = ways.where(F.size("refs") >= 2)
+    members = used.select(F.col("id").alias("way_id"), *keep, F.posexplode("refs").alias("pos", "node_id"))
+    found = members.join(spots, "node_id")
     along = W.partitionBy("way_id").orderBy("pos")
-    pairs = found.withColumn("dst", F.lead("node_id").over(along)).where(F.col("dst").isNotNull())
-    pairs = pairs.select("way_id", F.col("pos").alias("seq"), F.col("node_id").alias("src"), "dst")
-    if keep:
-        pairs = pairs.join(ways.select(F.col("id").alias("way_id"), *keep), "way_id")
-    return pairs
+    nxt = F.lead(F.struct("node_id", *at)).over(along)
+    pairs = found.withColumn("_next", nxt).where(F.col("_next").isNotNull())
+    more = [
+        F.col(c).alias(n) for c, n in (("lat", "lat1"), ("lon", "lon1"), ("_next.lat", "lat2"), ("_next.lon", "lon2"))
+    ] if positions else []
+    return pairs.select("way_id", F.col("pos").alias("seq"), F.col("node_id").alias("src"), F.col("_next.node_id").alias("dst"), *keep, *more)
 
 
 def build_edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -42,11 +47,8 @@ def build_edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 def build_arcs(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """Directed arcs: whole metres and the way's profile speed."""
     marked = ways.select("id", "refs", direction("tags").alias("dir"), profile_speed("tags").alias("speed_kmh"))
-    pairs = way_pairs(marked, nodes, ["dir", "speed_kmh"])
-    spots = located_nodes(nodes)
-    a = spots.select(F.col("id").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
-    b = spots.select(F.col("id").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    measured = pairs.where(F.col("src") != F.col("dst")).join(a, "src").join(b, "dst")
+    pairs = way_pairs(marked, nodes, ["dir", "speed_kmh"], positions=True)
+    measured = pairs.where(F.col("src") != F.col("dst"))
     measured = measured.withColumn("distance_m", F.floor(geo.haversine_m("lat1", "lon1", "lat2", "lon2")).cast("long"))
     ends = F.array(
         F.struct(F.lit(0).alias("back"), F.col("src").alias("s"), F.col("dst").alias("d")),

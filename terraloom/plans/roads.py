@@ -445,7 +445,24 @@ def _(spark, sf):
     return RT.shortest_paths(arcs(spark, sf), node_trips(spark, sf, comps), with_steps=False).routes
 
 
-@query("route_points")
+ROUTE_SQL = (
+    "mt AS (SELECT way_id AS request_id, arg_min(node_id, pos) AS a, arg_max(node_id, pos) AS b FROM refs JOIN way w ON w.id = way_id WHERE w.highway IS NOT NULL GROUP BY 1 HAVING count(*) >= 2), "
+    "one AS (SELECT src, dst, min(distance_m) AS m, arg_min(least(speed_kmh, 60), arc_id) AS kmh FROM arc GROUP BY 1, 2), "
+    "sp(source, node_id, d, path) USING KEY (source, node_id) AS (SELECT DISTINCT a, a, CAST(0 AS BIGINT), [struct_pack(n := a, m := CAST(0 AS BIGINT), kmh := 0)] FROM mt UNION "
+    "SELECT s.source, o.dst, min(s.d + o.m), arg_min(list_append(s.path, struct_pack(n := o.dst, m := o.m, kmh := o.kmh)), s.d + o.m) FROM sp s JOIN one o ON o.src = s.node_id "
+    "LEFT JOIN recurring.sp k ON k.source = s.source AND k.node_id = o.dst WHERE k.d IS NULL OR s.d + o.m < k.d GROUP BY 1, 2), "
+    f"leg AS (SELECT mt.*, {lat_of('a')} AS alat, {lon_of('a')} AS alon, {lat_of('b')} AS blat, {lon_of('b')} AS blon FROM mt), "
+    f"leg2 AS (SELECT *, {hav('alat + 1e-5', 'alon', 'alat', 'alon')} AS wa, {hav('blat', 'blon + 1e-5', 'blat', 'blon')} AS wb FROM leg), "
+    "pts AS (SELECT request_id, alat, alon, blat, blon, wa, wb, len(path) AS n, unnest(path) AS p, generate_subscripts(path, 1) AS i FROM leg2 JOIN sp ON sp.source = a AND sp.node_id = b), "
+    "cum AS (SELECT *, floor(wa * 1000e0 / 1.67e0) + sum(CASE WHEN i > 1 THEN p.m * 3600000 // (p.kmh * 1000) ELSE 0 END) OVER w AS t, floor(wa) + sum(p.m) OVER w AS m FROM pts WINDOW w AS (PARTITION BY request_id ORDER BY i)) "
+    f"SELECT request_id, CAST(i AS INTEGER) AS seq, {lat_of('p.n')} AS lat, {lon_of('p.n')} AS lon, CAST(t AS BIGINT) AS cum_time_ms, CAST(m AS BIGINT) AS cum_dist_m, "
+    "CAST(CASE WHEN n = 1 OR i = 1 THEN 6 ELSE p.kmh END AS INTEGER) AS max_speed_kmh, false AS is_walking FROM cum UNION ALL "
+    "SELECT request_id, 0, alat + 1e-5, alon, 0, 0, 6, true FROM cum WHERE i = 1 UNION ALL "
+    "SELECT request_id, CAST(n + 1 AS INTEGER), blat, blon + 1e-5, CAST(t + floor(wb * 1000e0 / 1.67e0) AS BIGINT), CAST(m + floor(wb) AS BIGINT), 6, true FROM cum WHERE i = n"
+)
+
+
+@query("route_points", with_("refs way pair road_pair", "SELECT").removesuffix(" SELECT").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + ARC + ", " + ROUTE_SQL)
 def _(spark, sf):
     from ..scratch import cut
     g, n = cut(arcs(spark, sf)), cut(road_nodes(spark, sf))
