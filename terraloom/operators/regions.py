@@ -22,6 +22,7 @@ REGION_SCHEMA = (
     "code string, country_code string, name_latn string, "
     "polygons array<array<array<struct<x:double,y:double>>>>"
 )
+HALVINGS = 6
 _EDGE = "struct<x1:double,y1:double,x2:double,y2:double>"
 
 
@@ -76,10 +77,10 @@ def build_cover(regions: DataFrame, cell_m: float = 20_000.0, max_edges: int = 5
     Cells shrink until none carries more than ``max_edges`` edges.
     """
     edges, seen = cut_with(region_edges(regions))
-    for _ in range(6):
+    for halved in range(HALVINGS + 1):
         touched, _n = cut_with(_cells_of_edges(edges, cell_m))
         worst = touched.groupBy("cx", "cy").count().agg(F.max("count")).first()[0] or 0
-        if worst <= max_edges:
+        if worst <= max_edges or halved == HALVINGS:
             break
         cell_m /= 2
     c = cell_m

@@ -36,6 +36,17 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def _folder(spark: SparkSession) -> str:
+    return os.path.join(scratch_root(spark), "tables", spark.sparkContext.applicationId)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables once results are stored."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return the written table."""
     return cut_with(df)[0]
@@ -47,7 +58,7 @@ def cut_with(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
     ``rows`` is always among the figures.
     """
     spark = df.sparkSession
-    path = os.path.join(scratch_root(spark), "tables", uuid.uuid4().hex)
+    path = os.path.join(_folder(spark), uuid.uuid4().hex)
     seen = Observation()
     exprs = [F.count(F.lit(1)).alias("rows")] + [c.alias(n) for n, c in metrics.items()]
     df.observe(seen, *exprs).write.parquet(path)

@@ -66,6 +66,17 @@ def test_cells_shrink_when_crowded(spark):
     ring = [[[{"x": x, "y": y} for x, y in star(5e3, 5e3, 4e3, 400, 9)]]]
     df = spark.createDataFrame([("A", "A", "a", ring)], RG.REGION_SCHEMA)
     assert RG.build_cover(df, 20e3, max_edges=100).cell_m < 20e3
+    # A limit no size can meet still gives a cover that agrees with itself.
+    cover = RG.build_cover(df, 20e3, max_edges=0)
+    assert cover.cell_m == 20e3 / 2 ** RG.HALVINGS
+    g = np.random.default_rng(6)
+    x, y = g.random(800) * 10e3, g.random(800) * 10e3
+    pts = spark.createDataFrame(pd.DataFrame({"id": np.arange(800), "x": x, "y": y})).select(
+        "id", geo.lat_of_mercator("y").alias("lat"), geo.lon_of_mercator("x").alias("lon"))
+    got = RG.assign_regions(pts, cover, how="inner")
+    assert {r.id for r in got.collect()} == set(np.where(inside([[star(5e3, 5e3, 4e3, 400, 9)]], x, y))[0])
+    from terraloom import scratch
+    scratch.clear(spark)
 
 
 @pytest.fixture(scope="module")
