@@ -178,10 +178,8 @@ def assign_regions(
     cells = sized(cover.cells, cover.rows + 8 * cover.edges)
     met = at.join(cells, (F.col("_cx") == F.col("cx")) & (F.col("_cy") == F.col("cy")), how)
     codes = region_matches(F.col("regions"), F.col("_x"), F.col("_y"), F.col("_cx"), F.col("_cy"), c, predicate)
-    if multi:
-        code = F.explode(codes) if how == "inner" else F.explode_outer(codes)
-    else:
-        code = F.try_element_at(codes, F.lit(1))
+    # A generator keeps later filters above it, so a point is tested once.
+    code = F.explode_outer(codes if multi else F.slice(codes, 1, 1))
     out = met.select(*points.columns, code.alias(name))
     return out.where(F.col(name).isNotNull()) if how == "inner" else out
 
