@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, pii, search, simhash, toxicity
+from . import chat, decontaminate, html, mixing, passages, pii, search, simhash, toxicity, warc
 from .oracle import ORACLES  # noqa: F401
 
 #: Fixed for repeatable test results; a real key is a secret of its user.
@@ -44,6 +44,20 @@ def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
                       F.when(F.col("score") >= toxicity.CUT, 1).otherwise(0).alias("predicted"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.passages(_table(spark, sf, "documents"))
+
+
+def op6_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    out = html.extract(_table(spark, sf, "pages"), keep=["page_id", "url"])
+    return out.select("_row.page_id", "_row.url", "_new.text", "_new.n_chars")
+
+
+def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
+    packages = warc.write(warc.typed(_table(spark, sf, "pages")), warc.new_folder(spark))
+    return warc.read(warc.index(packages), with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return search.top_k(_table(spark, sf, "embeddings"))
 
@@ -59,4 +73,5 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_benchmark_decontamination, op2_simhash_near_dedup, op3_chat_formatting, op4_toxicity, op8_exact_top_k, op9_mixing, op10_pii)}
+    op1_benchmark_decontamination, op2_simhash_near_dedup, op3_chat_formatting, op4_toxicity,
+    op5_substring_dedup, op6_html_extraction, op7_warc, op8_exact_top_k, op9_mixing, op10_pii)}
