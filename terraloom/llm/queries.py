@@ -75,3 +75,12 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_benchmark_decontamination, op2_simhash_near_dedup, op3_chat_formatting, op4_toxicity,
     op5_substring_dedup, op6_html_extraction, op7_warc, op8_exact_top_k, op9_mixing, op10_pii)}
+
+
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
+
+
+QUERIES["pipeline"] = pipeline
