@@ -1,3 +1,72 @@
 """SQL giving the same rows as the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _words(table: str, key: str) -> str:
+    return rf"SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM {table}"
+
+
+OP1 = f"""
+WITH d AS ({_words("documents", "doc_id")}), it AS ({_words("benchmark", "item_id")}),
+win AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + 12], ' ') AS k FROM it, unnest(range(1, greatest(len(w) - 12, 1) + 1)) t(i) WHERE len(w) > 0),
+pos AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM d, (SELECT DISTINCT n FROM win) s, unnest(range(1, len(w) - n + 2)) t(i)),
+hit AS (SELECT doc_id, i, n, item_id FROM pos JOIN win USING (n, k)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(i, i + n)) t(p) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def _escape(text: str, control: tuple) -> str:
+    out = f"replace({text}, '\\', '\\\\')"
+    for c in control:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+def op3(control: tuple, frame: int, budget: int, history: int) -> str:
+    return f"""
+WITH given AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
+  SELECT -1, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS k FROM given),
+x AS (SELECT *, CAST(ceil((strlen(role) + strlen(text)) / 4e0) AS BIGINT) + 4 AS tok, k = 0 AND role = 'system' AS sys,
+  length({_escape("role", control)}) + length({_escape("text", control)}) + {frame} AS size FROM t),
+p AS (SELECT *, coalesce(max(CASE WHEN sys THEN tok END) OVER c, 0) AS stok, sum(tok) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM x WINDOW c AS (PARTITION BY conv_id)),
+b AS (SELECT *, greatest(1, {budget - history} - stok) AS room, greatest(0, upto - tok - stok) AS b FROM p),
+o AS (SELECT *, b // room AS cell FROM b),
+m AS (SELECT conv_id, cell, max(k) AS last_k, count(*) > 1 AND arg_max(b + tok, k) - arg_min(b, k) > any_value(room) AS over FROM o GROUP BY 1, 2),
+f AS (SELECT o.*, CASE WHEN over AND k = last_k THEN 1 ELSE 0 END AS part FROM o JOIN m USING (conv_id, cell)),
+w AS (SELECT conv_id, cell, part, min(k) AS from_k, arg_min(b, k) AS first, sum(size) AS own FROM f GROUP BY 1, 2, 3),
+h AS (SELECT w.conv_id, w.cell, w.part, any_value(own) + coalesce(sum(f.size) FILTER (WHERE f.sys OR (f.k < w.from_k AND w.first - f.b <= {history})), 0) AS size
+  FROM w LEFT JOIN f ON f.conv_id = w.conv_id AND f.k < w.from_k GROUP BY 1, 2, 3),
+c AS (SELECT conv_id, CAST(sum(size) AS BIGINT) AS formatted_chars FROM h GROUP BY 1)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, any_value(formatted_chars) AS formatted_chars
+FROM t JOIN c USING (conv_id) GROUP BY 1
+"""
+
+
+_B32 = " || ".join(
+    f"substr('{_UPPER}234567', CAST((v[{i + 1}] >> {s}) & 31 AS INTEGER) + 1, 1)" for i in range(8) for s in (15, 10, 5, 0))
+
+OP7 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
+f AS (SELECT s, min(page_id) AS first FROM p GROUP BY 1),
+d AS (SELECT p.*, first, list_transform(range(8), lambda i: CAST('0x' || substr(p.s, CAST(5 * i + 1 AS INTEGER), 5) AS BIGINT)) AS v FROM p JOIN f USING (s))
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, {_B32} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+"""
+
+OP8 = """
+WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""

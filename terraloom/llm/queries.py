@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, mixing, passages, pii, search, simhash, toxicity, warc
-from .oracle import ORACLES  # noqa: F401
+from . import chat, decontaminate, html, mixing, oracle, passages, pii, search, simhash, toxicity, warc
 
 #: Fixed for repeatable test results; a real key is a secret of its user.
 PSEUDONYM_KEY = b"terraloom-test-key"
@@ -19,7 +18,7 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def op1_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate.scan(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"), keep=["doc_id"])
     return decontaminate.verdict(found).select(
-        "_row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "longest_item", "longest_at")
+        "_row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,15 +71,18 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("_row.doc_id", "_new.*")
 
 
-QUERIES = {f.__name__: f for f in (
-    op1_benchmark_decontamination, op2_simhash_near_dedup, op3_chat_formatting, op4_toxicity,
-    op5_substring_dedup, op6_html_extraction, op7_warc, op8_exact_top_k, op9_mixing, op10_pii)}
-
-
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    import corpus_pipeline
+    import corpus_pipeline  # it builds on this module
 
     return corpus_pipeline.run(spark, sf)
 
 
-QUERIES["pipeline"] = pipeline
+QUERIES = {f.__name__: f for f in (
+    op1_benchmark_decontamination, op2_simhash_near_dedup, op3_chat_formatting, op4_toxicity,
+    op5_substring_dedup, op6_html_extraction, op7_warc, op8_exact_top_k, op9_mixing, op10_pii, pipeline)}
+ORACLES = {
+    "op1_benchmark_decontamination": oracle.OP1,
+    "op3_chat_formatting": oracle.op3(chat.CONTROL, len(chat.TURN + chat.SAYS + chat.END), chat.BUDGET, chat.HISTORY),
+    "op7_warc": oracle.OP7,
+    "op8_exact_top_k": oracle.OP8,
+}
