@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..scratch import cut_with
 from .routing import position_at
 from .tiles import build_tile_index, nearest
 
@@ -132,19 +133,20 @@ class Search:
 
 def search_jobs(
     employees: DataFrame, jobs: DataFrame, games: DataFrame, active: DataFrame, travel: DataFrame,
-    config: GameConfig = GameConfig(), max_jobs_per_tier: int = 2,
+    config: GameConfig = GameConfig(),
 ) -> Search:
     """New offers for idle employees, replacing their unstarted ones.
 
-    ``max_jobs_per_tier`` bounds the ``jobsPerTier`` effect a game may have.
+    Each game's ``jobsPerTier`` effect says how many jobs of a tier are
+    offered; the largest one among the seekers sizes the job index.
     """
     idle = idle_employees(employees, active, travel)
     rules = games.select(
         "game_id", effect("moneyDistanceFactor", 1).alias("_money"), effect("xpMultiplier", 1).alias("_xp"),
         effect("jobsPerTier", config.jobs_per_tier).cast("int").alias("_k"),
     )
-    seekers = with_vehicle(idle).join(rules, "game_id")
-    found = knn_jobs(seekers, jobs, max_jobs_per_tier, config.search_radius_m, "_k")
+    seekers, seen = cut_with(with_vehicle(idle).join(rules, "game_id"), most=F.max("_k"))
+    found = knn_jobs(seekers, jobs, max(1, seen["most"] or 0), config.search_radius_m, "_k")
     terms = jobs.select("job_id", "start_address", "end_address", "category", "km")
     offers = found.join(terms, "job_id").join(
         seekers.select("employee_id", "game_id", F.col("lat").alias("start_lat"), F.col("lon").alias("start_lon"), "_money", "_xp"), "employee_id"

@@ -71,18 +71,22 @@ def _(spark, sf):
     return k.select("employee_id", "tier", "job_id", "rank", F.round("distance", 3).alias("distance"))
 
 
+JOBS_PER_TIER = (1, 2, 3, 5)
+
+
 def supplier_games(spark, sf):
     """A game per nation of some supplier."""
     g = D.employees(spark, sf).select("game_id").distinct()
     return g.withColumn("effects", F.create_map(F.lit("moneyDistanceFactor"), F.lit(1.0) + F.lit(0.5) * (F.col("game_id") % 2),
-                                                F.lit("xpMultiplier"), F.lit(1.0) + F.lit(0.25) * (F.col("game_id") % 3)))
+                                                F.lit("xpMultiplier"), F.lit(1.0) + F.lit(0.25) * (F.col("game_id") % 3),
+                                                F.lit("jobsPerTier"), F.element_at(F.array(*[F.lit(float(k)) for k in JOBS_PER_TIER]), (F.col("game_id") % 4 + 1).cast("int"))))
 
 
 IDLE = "e.employee_id NOT IN (SELECT employee_id FROM active WHERE start_time >= TIMESTAMP '2024-01-29') AND e.employee_id NOT IN (SELECT employee_id FROM travel WHERE start_time >= TIMESTAMP '2024-01-29')"
 
 
 @query("search_offers", with_("job emp active travel", "SELECT").removesuffix(" SELECT") + ", " + KNN.replace("FROM emp e)", f"FROM emp e WHERE {IDLE})") +
-       "SELECT employee_id, job_id, tier, CAST(rn AS INTEGER) AS rank, round(km * 20e0 * (1e0 + 0.5e0 * (game_id % 2)), 4) AS reward, CAST(floor(km * 20e0 * 100e0 * 1e0 * (1e0 + 0.25e0 * (game_id % 3))) AS BIGINT) AS xp FROM knn WHERE rn <= 2")
+       "SELECT employee_id, job_id, tier, CAST(rn AS INTEGER) AS rank, round(km * 20e0 * (1e0 + 0.5e0 * (game_id % 2)), 4) AS reward, CAST(floor(km * 20e0 * 100e0 * 1e0 * (1e0 + 0.25e0 * (game_id % 3))) AS BIGINT) AS xp FROM knn WHERE rn <= [1, 2, 3, 5][game_id % 4 + 1]")
 def _(spark, sf):
     cfg = FL.GameConfig(search_radius_m=30000.0)
     late = F.lit("2024-01-29").cast("timestamp")
@@ -91,10 +95,11 @@ def _(spark, sf):
     return s.offers.select("employee_id", "job_id", "tier", "rank", F.round("reward", 4).alias("reward"), "xp")
 
 
-@query("search_kept_offers", with_("active travel emp", "SELECT active_id FROM active WHERE start_time IS NOT NULL OR employee_id NOT IN (SELECT employee_id FROM emp) OR "
-       "employee_id IN (SELECT employee_id FROM active WHERE start_time IS NOT NULL) OR employee_id IN (SELECT employee_id FROM travel)"))
+@query("search_kept_offers", with_("active travel emp", "SELECT active_id FROM active WHERE start_time >= TIMESTAMP '2024-01-29' OR employee_id NOT IN (SELECT employee_id FROM emp) OR "
+       "employee_id IN (SELECT employee_id FROM active WHERE start_time >= TIMESTAMP '2024-01-29') OR employee_id IN (SELECT employee_id FROM travel WHERE start_time >= TIMESTAMP '2024-01-29')"))
 def _(spark, sf):
-    a, t = D.active(spark, sf), D.travel(spark, sf)
+    late = F.lit("2024-01-29").cast("timestamp")
+    a, t = [df.withColumn("start_time", F.when(F.col("start_time") >= late, F.col("start_time"))) for df in (D.active(spark, sf), D.travel(spark, sf))]
     return FL.search_jobs(D.employees(spark, sf), D.jobs(spark, sf), supplier_games(spark, sf), a, t).active.select("active_id")
 
 
