@@ -22,18 +22,35 @@ REGION_SCHEMA = (
     "code string, country_code string, name_latn string, "
     "polygons array<array<array<struct<x:double,y:double>>>>"
 )
-HALVINGS = 6
+#: Cells of this size are not split: their edges meet in one point.
+SMALLEST_M = 0.05
 _EDGE = "struct<x1:double,y1:double,x2:double,y2:double>"
 
 
 @dataclass
-class RegionCover:
+class Level:
+    """Cells of one size. A cell with null ``regions`` is split in the next."""
+
     cells: DataFrame
     rows: int
     edges: int
     cell_m: float
 
 
+@dataclass
+class RegionCover:
+    levels: list[Level]
+
+    @property
+    def rows(self) -> int:
+        return sum(x.rows for x in self.levels)
+
+    @property
+    def cell_m(self) -> float:
+        """Size of the smallest cells."""
+        return self.levels[-1].cell_m
+
+
 def region_edges(regions: DataFrame) -> DataFrame:
     """(code, x1, y1, x2, y2) per polygon edge; open rings are closed."""
     rings = regions.select("code", F.explode("polygons").alias("_p")).select("code", F.explode("_p").alias("r"))
@@ -71,54 +88,86 @@ def _cells_of_edges(edges: DataFrame, c: float) -> DataFrame:
     ))).drop("_xa", "_xb")
 
 
-def build_cover(regions: DataFrame, cell_m: float = 20_000.0, max_edges: int = 512) -> RegionCover:
-    """Cover of a region set in Web-Mercator metres.
-
-    Cells shrink until none carries more than ``max_edges`` edges.
-    """
-    edges, seen = cut_with(region_edges(regions))
-    for halved in range(HALVINGS + 1):
-        touched, _n = cut_with(_cells_of_edges(edges, cell_m))
-        worst = touched.groupBy("cx", "cy").count().agg(F.max("count")).first()[0] or 0
-        if worst <= max_edges or halved == HALVINGS:
-            break
-        cell_m /= 2
-    c = cell_m
-    border = touched.groupBy("code", "cx", "cy").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
-
-    # Crossings of each grid row line, placed at the last cell left of them.
+def _parities(marks: DataFrame, edges: DataFrame, c: float) -> DataFrame:
+    """``marks`` (code, cx, cy, ...) with the state of each cell's lower right
+    corner: the edges of its region that cross the row line right of it."""
     first = F.ceil(F.least("y1", "y2") / c).cast("long")
     last = (F.ceil(F.greatest("y1", "y2") / c) - 1).cast("long")
     lines = edges.where(first <= last).withColumn("cy", F.explode(F.sequence(first, last)))
     y = F.col("cy") * c
     at = F.col("x1") + (y - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
-    crossings = lines.groupBy("code", "cy", (F.ceil(at / c) - 2).cast("long").alias("cx")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    # Crossings count for all cells left of them.
+    crossings = lines.groupBy("code", "cy", (F.ceil(at / c) - 2).cast("long").alias("cx")).agg(F.count(F.lit(1)).alias("n"))
     # One window row per occupied cell of a region's grid row.
-    marks = crossings.select("code", "cy", "cx", "n", F.lit(None).cast(f"array<{_EDGE}>").alias("edges"))
-    marks = marks.unionByName(border.select("code", "cy", "cx", F.lit(0).cast("long").alias("n"), "edges"))
     row = W.partitionBy("code", "cy").orderBy(F.desc("cx"))
-    marks = marks.withColumn("parity", (F.sum("n").over(row) % 2).cast("int"))
-    at_border = marks.where(F.col("edges").isNotNull()).select(
-        "code", "cx", "cy", F.lit(False).alias("inside"), "parity", "edges"
-    )
-    turns = crossings.withColumn("parity", (F.sum("n").over(row) % 2).cast("int")).withColumn(
-        "next", F.lead("cx").over(row)
-    )
+    both = crossings.withColumn("mark", F.lit(False)).unionByName(
+        marks.withColumn("n", F.lit(0).cast("long")).withColumn("mark", F.lit(True)), allowMissingColumns=True)
+    return both.withColumn("parity", (F.sum("n").over(row) % 2).cast("int")).withColumn("next", F.lead("cx").over(row))
+
+
+def _crowded(touched: DataFrame, c: float, max_edges: int) -> tuple[DataFrame, int]:
+    """Cells of more than ``max_edges`` edges, unless they are the smallest."""
+    busy = touched.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > max_edges) & F.lit(c / 2 >= SMALLEST_M))
+    cells, seen = cut_with(busy.select("cx", "cy"))
+    return cells, seen["rows"]
+
+
+def _level(border: DataFrame, plain: DataFrame, busy: DataFrame, c: float) -> Level:
+    """Rows per cell from border rows and wholly covered ones."""
+    rows = border.select("code", "cx", "cy", F.lit(False).alias("inside"), "parity", "edges").unionByName(plain.select(
+        "code", "cx", "cy", F.lit(True).alias("inside"), F.lit(1).alias("parity"), F.array().cast(f"array<{_EDGE}>").alias("edges")))
+    cells = rows.groupBy("cx", "cy").agg(F.array_sort(F.collect_list(F.struct("code", "inside", "parity", "edges"))).alias("regions"))
+    cells = cells.unionByName(busy.withColumn("regions", F.lit(None).cast(cells.schema["regions"].dataType)))
+    cells, seen = cut_with(cells, edges=F.sum(F.aggregate("regions", F.lit(0), lambda a, r: a + F.size(r["edges"]))))
+    return Level(cells, seen["rows"], seen["edges"] or 0, c)
+
+
+def build_cover(regions: DataFrame, cell_m: float = 20_000.0, max_edges: int = 512) -> RegionCover:
+    """Cover of a region set in Web-Mercator metres.
+
+    A cell with more than ``max_edges`` edges is split into four, level by
+    level, until none is crowded; all other cells keep their size.
+    """
+    edges, _ = cut_with(region_edges(regions))
+    touched, _ = cut_with(_cells_of_edges(edges, cell_m))
+    busy, n_busy = _crowded(touched, cell_m, max_edges)
+    border = touched.groupBy("code", "cx", "cy").agg(F.count(F.lit(1)).alias("k"))
+    listed = touched.join(busy, ["cx", "cy"], "left_anti").groupBy("code", "cx", "cy").agg(
+        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+    marks, _ = cut_with(_parities(listed, edges, cell_m))
+    # Inside runs between crossings, without the cells an edge passes.
+    row = W.partitionBy("code", "cy").orderBy(F.desc("cx"))
+    turns = marks.where(~F.col("mark")).withColumn("next", F.lead("cx").over(row))
     runs = turns.where((F.col("parity") == 1) & F.col("next").isNotNull() & (F.col("next") < F.col("cx")))
-    filled = runs.select("code", "cy", F.explode(F.sequence(F.col("next") + 1, F.col("cx"))).alias("cx")).join(
-        border.select("code", "cx", "cy"), ["code", "cx", "cy"], "left_anti"
-    )
-    filled = filled.select(
-        "code", "cx", "cy", F.lit(True).alias("inside"), F.lit(1).alias("parity"),
-        F.array().cast(f"array<{_EDGE}>").alias("edges"),
-    )
-    cells = at_border.unionByName(filled).groupBy("cx", "cy").agg(
-        F.array_sort(F.collect_list(F.struct("code", "inside", "parity", "edges"))).alias("regions")
-    )
-    cells, figures = cut_with(cells)
-    return RegionCover(cells, figures["rows"], seen["rows"], c)
+    filled, _ = cut_with(runs.select("code", "cy", F.explode(F.sequence(F.col("next") + 1, F.col("cx"))).alias("cx")).join(
+        border, ["code", "cx", "cy"], "left_anti"))
+    plain = filled.join(busy, ["cx", "cy"], "left_anti")
+    levels = [_level(marks.where("mark"), plain, busy, cell_m)]
+    # Regions that have something of a split cell: by an edge, or all of it.
+    part = border.select("code", "cx", "cy").unionByName(filled.select("code", "cx", "cy")).join(busy, ["cx", "cy"], "left_semi")
+    near = touched.join(busy, ["cx", "cy"], "left_semi")
+    c = cell_m
+    while n_busy:
+        c /= 2
+        quarter = F.explode(F.array(*[F.struct((F.col("cx") * 2 + i).alias("cx"), (F.col("cy") * 2 + j).alias("cy")) for i in (0, 1) for j in (0, 1)]))
+        wanted, _ = cut_with(part.select("code", quarter.alias("q")).select("code", "q.cx", "q.cy"))
+        spots = wanted.select("cx", "cy").distinct()
+        inner = near.select("code", "x1", "y1", "x2", "y2").distinct()
+        near, _ = cut_with(_cells_of_edges(inner, c).join(spots, ["cx", "cy"], "left_semi"))
+        busy, n_busy = _crowded(near, c, max_edges)
+        listed = near.join(busy, ["cx", "cy"], "left_anti").groupBy("code", "cx", "cy").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+        passed = near.select("code", "cx", "cy").distinct().withColumn("passed", F.lit(True))
+        asked = wanted.join(passed, ["code", "cx", "cy"], "left").join(listed, ["code", "cx", "cy"], "left")
+        # Only the grid rows of split cells are looked at.
+        rows = wanted.select("code", F.col("cy").alias("_cy")).distinct()
+        span = rows.groupBy("code").agg(F.min("_cy").alias("lo"), F.max("_cy").alias("hi"))
+        some = edges.join(span, "code").where((F.least("y1", "y2") <= (F.col("hi") + 1) * c) & (F.greatest("y1", "y2") >= F.col("lo") * c))
+        marks, _ = cut_with(_parities(asked, some.select("code", "x1", "y1", "x2", "y2"), c).where("mark"))
+        whole = marks.where("passed is null and parity = 1").select("code", "cx", "cy")
+        levels.append(_level(marks.where("edges is not null"), whole.join(busy, ["cx", "cy"], "left_anti"), busy, c))
+        part = marks.where("passed or parity = 1").select("code", "cx", "cy").join(busy, ["cx", "cy"], "left_semi")
+        near = near.join(busy, ["cx", "cy"], "left_semi")
+    return RegionCover(levels)
 
 
 def _touches(e: Column, x: Column, y: Column) -> Column:
@@ -168,16 +217,21 @@ def assign_regions(
     """
     if predicate not in ("covers", "within"):
         raise ValueError(f"unknown predicate {predicate!r}")
-    c = cover.cell_m
     x, y = geo.mercator_x(lon), geo.mercator_y(lat)
-    at = points.withColumn("_x", x).withColumn("_y", y)
-    at = at.withColumn("_cx", F.floor(F.col("_x") / c).cast("long")).withColumn(
-        "_cy", F.floor(F.col("_y") / c).cast("long")
-    )
-    # Edges weigh more than rows, so both counts must be small to broadcast.
-    cells = sized(cover.cells, cover.rows + 8 * cover.edges)
-    met = at.join(cells, (F.col("_cx") == F.col("cx")) & (F.col("_cy") == F.col("cy")), how)
-    codes = region_matches(F.col("regions"), F.col("_x"), F.col("_y"), F.col("_cx"), F.col("_cy"), c, predicate)
+    met = points.withColumn("_x", x).withColumn("_y", y)
+    codes = F.lit(None).cast("array<string>")
+    for k, level in enumerate(cover.levels):
+        c = level.cell_m
+        # Only points of a split cell go on to the next level.
+        go_on = F.lit(True) if k == 0 else F.col(f"_cx{k - 1}").isNotNull() & F.col(f"_hit{k - 1}") & F.col(f"_r{k - 1}").isNull()
+        met = met.withColumn(f"_cx{k}", F.when(go_on, F.floor(F.col("_x") / c).cast("long"))).withColumn(
+            f"_cy{k}", F.when(go_on, F.floor(F.col("_y") / c).cast("long")))
+        # Edges weigh more than rows, so both counts must be small to broadcast.
+        cells = sized(level.cells.select(F.col("cx").alias("_x1"), F.col("cy").alias("_y1"), F.col("regions").alias(f"_r{k}"), F.lit(True).alias(f"_hit{k}")),
+                      level.rows + 8 * level.edges)
+        met = met.join(cells, (F.col(f"_cx{k}") == F.col("_x1")) & (F.col(f"_cy{k}") == F.col("_y1")), how if k == 0 else "left").drop("_x1", "_y1")
+        here = region_matches(F.col(f"_r{k}"), F.col("_x"), F.col("_y"), F.col(f"_cx{k}"), F.col(f"_cy{k}"), c, predicate)
+        codes = here if k == 0 else F.when(F.col(f"_r{k}").isNotNull(), here).otherwise(codes)
     # A generator keeps later filters above it, so a point is tested once.
     code = F.explode_outer(codes if multi else F.slice(codes, 1, 1))
     out = met.select(*points.columns, code.alias(name))

@@ -65,10 +65,8 @@ def test_border_points_and_overlap(spark):
 def test_cells_shrink_when_crowded(spark):
     ring = [[[{"x": x, "y": y} for x, y in star(5e3, 5e3, 4e3, 400, 9)]]]
     df = spark.createDataFrame([("A", "A", "a", ring)], RG.REGION_SCHEMA)
-    assert RG.build_cover(df, 20e3, max_edges=100).cell_m < 20e3
-    # A limit no size can meet still gives a cover that agrees with itself.
-    cover = RG.build_cover(df, 20e3, max_edges=0)
-    assert cover.cell_m == 20e3 / 2 ** RG.HALVINGS
+    cover = RG.build_cover(df, 20e3, max_edges=20)
+    assert cover.cell_m < 20e3 and len(cover.levels) > 2
     g = np.random.default_rng(6)
     x, y = g.random(800) * 10e3, g.random(800) * 10e3
     pts = spark.createDataFrame(pd.DataFrame({"id": np.arange(800), "x": x, "y": y})).select(
@@ -209,7 +207,28 @@ def test_density_and_histogram(spark):
     assert G.histogram(spark.createDataFrame([(3,)] * 4, "points long")).first().rows == 4
 
 
+def test_fine_ring_splits_its_own_cells_only(spark):
+    """A coast of 4000 edges in 400 m does not make the whole map fine."""
+    rings = [[{"x": x, "y": y} for x, y in star(0, 0, 1e5, 4, 1)]], [[{"x": x, "y": y} for x, y in star(150, 90, 200, 4000, 2)]]
+    df = spark.createDataFrame([("A", "A", "a", [[rings[0][0]]]), ("B", "B", "b", [[rings[1][0]]])], RG.REGION_SCHEMA)
+    cover = RG.build_cover(df)
+    assert cover.rows < 2000
+    g = np.random.default_rng(8)
+    x, y = g.random(500) * 1000 - 400, g.random(500) * 1000 - 400
+    pts = spark.createDataFrame(pd.DataFrame({"id": np.arange(500), "x": x, "y": y})).select(
+        "id", geo.lat_of_mercator("y").alias("lat"), geo.lon_of_mercator("x").alias("lon"))
+    got = {(r.id, r.region) for r in RG.assign_regions(pts, cover, how="inner", multi=True).collect()}
+    want = {(i, "A") for i in np.where(inside([[star(0, 0, 1e5, 4, 1)]], x, y))[0]} | {(i, "B") for i in np.where(inside([[star(150, 90, 200, 4000, 2)]], x, y))[0]}
+    assert got == want
+
+
+def test_snap_stats_median(spark):
+    df = spark.createDataFrame([(1.0,), (3.0,)], "distance double")
+    assert RP.snap_stats(df).first().median_m == 2.0
+    assert RP.snap_stats(df.limit(0)).first().median_m is None
+
+
 def test_nearest_rank(spark):
     df = spark.createDataFrame([("a", float(v)) for v in range(1, 101)] + [("b", 7.0)], "k string, v double")
-    got = {r.k: r.value for r in RP.nearest_rank(df, 0.95, ["k"], "v", buckets=7).collect()}
+    got = {r.k: r.value for r in RP.nearest_rank(df, 0.95, ["k"], "v").collect()}
     assert got == {"a": 95.0, "b": 7.0}
