@@ -12,37 +12,35 @@ from pyspark.sql.types import StructType
 
 from ..operators.regions import RegionCover, assign_regions
 
-DONE_SCHEMA = "employee_id bigint, active_id bigint, reward double, xp bigint, completed_at timestamp"
-_PENDING = "active_id bigint, reward double, xp bigint, due_us bigint"
+_DONE = "employee_id bigint, active_id bigint, reward double, xp bigint, completed_us bigint"
+_PENDING = "reward double, xp bigint, due_us bigint"
 
 
 class _Settle(StatefulProcessor):
-    """Holds one employee's running jobs until their time comes."""
+    """Holds one running job until its time comes.
+
+    Times are microseconds since the epoch, so the session's time zone, in
+    which pandas shows timestamps, plays no part.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", "active_id bigint", _PENDING)
+        self.pending = handle.getValueState("pending", _PENDING)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for df in rows:
-            for r in df.itertuples(index=False):
-                start_us = int(pd.Timestamp(r.start_time).value // 1000)
-                due_us = start_us + int(round(r.duration_s * 1_000_000))
-                self.pending.updateValue((int(r.active_id),), (int(r.active_id), float(r.reward), int(r.xp), due_us))
+            for start_us, duration_s, reward, xp in zip(df["start_us"], df["duration_s"], df["reward"], df["xp"], strict=True):
+                due_us = int(start_us) + round(float(duration_s) * 1_000_000)
+                self.pending.update((float(reward), int(xp), due_us))
                 # Timers count in ms; round up so none fires early.
                 self.handle.registerTimer(-(-due_us // 1000))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now_us = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        due = [v for _k, v in self.pending.iterator() if v[3] <= now_us]
-        for v in due:
-            self.pending.removeKey((v[0],))
-        if due:
-            yield pd.DataFrame({
-                "employee_id": [key[0]] * len(due), "active_id": [v[0] for v in due], "reward": [v[1] for v in due],
-                "xp": [v[2] for v in due], "completed_at": [pd.Timestamp(v[3], unit="us") for v in due],
-            })
+        if self.pending.exists():
+            reward, xp, due_us = self.pending.get()
+            self.pending.clear()
+            yield pd.DataFrame({"employee_id": [key[0]], "active_id": [key[1]], "reward": [reward], "xp": [xp], "completed_us": [due_us]})
 
     def close(self) -> None:
         pass
@@ -52,12 +50,20 @@ def settle_stream(starts: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Completion rows at start + duration from a stream of job starts.
 
     ``starts``: employee_id, active_id, start_time, duration_s, reward, xp. A
-    start that arrives twice counts once; one below the watermark is dropped.
+    start that arrives twice counts once; one below the watermark is dropped
+    and counted, see ``late_rows``.
     """
     marked = starts.withWatermark("start_time", delay).dropDuplicatesWithinWatermark(["active_id"])
-    return marked.groupBy("employee_id").transformWithStateInPandas(
-        statefulProcessor=_Settle(), outputStructType=_struct(DONE_SCHEMA), outputMode="Append", timeMode="EventTime",
+    timed = marked.withColumn("start_us", F.unix_micros("start_time"))
+    done = timed.groupBy("employee_id", "active_id").transformWithStateInPandas(
+        statefulProcessor=_Settle(), outputStructType=_struct(_DONE), outputMode="Append", timeMode="EventTime",
     )
+    return done.select("employee_id", "active_id", "reward", "xp", F.timestamp_micros("completed_us").alias("completed_at"))
+
+
+def late_rows(query) -> int:
+    """Rows a streaming query has dropped as later than its watermark."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"][-1:])
 
 
 def _struct(ddl: str) -> StructType:

@@ -143,7 +143,17 @@ def test_tag_stream(spark, tmp_path):
     assert {r.id: r.region for r in spark.table("tags").collect()} == {1: "A", 2: None}
 
 
-def test_settle_stream(spark, tmp_path):
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_settle_stream(spark, tmp_path, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        settled(spark, tmp_path, zone.replace("/", "_"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def settled(spark, tmp_path, zone):
     t0 = dt.datetime(2024, 1, 1, 12)
     schema = "employee_id long, active_id long, start_time timestamp, duration_s double, reward double, xp long"
     rows = [(1, 1, t0, 60.0, 5.0, 10), (1, 1, t0, 60.0, 5.0, 10), (1, 2, t0, 1e7, 7.0, 1), (2, 3, t0, 3600.0, 2.0, 4)]
@@ -151,5 +161,5 @@ def test_settle_stream(spark, tmp_path):
     late = spark.createDataFrame([(9, 9, t0 + dt.timedelta(hours=5), 1e9, 0.0, 0)], schema)
     src = staged(spark.createDataFrame(rows, schema), late, str(tmp_path / "s"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    done = {(r.active_id, r.completed_at) for r in drain(ST.settle_stream(stream), "settled", tmp_path).collect()}
+    done = {(r.active_id, r.completed_at) for r in drain(ST.settle_stream(stream), f"settled_{zone}", tmp_path).collect()}
     assert done == {(1, t0 + dt.timedelta(seconds=60)), (3, t0 + dt.timedelta(hours=1))}
