@@ -118,6 +118,17 @@ def pruning_scenarios(ways: DataFrame) -> DataFrame:
     )
 
 
+def ref_pairs(ways: DataFrame) -> DataFrame:
+    """Neighbouring references of routable ways, located or not: src, dst.
+
+    Neighbours stand side by side in ``refs``, so nothing is shuffled.
+    """
+    used = ways.where(routable("tags") & (F.size("refs") >= 2))
+    n = F.size("refs") - 1
+    zipped = F.zip_with(F.slice("refs", F.lit(1), n), F.slice("refs", F.lit(2), n), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))
+    return used.select(F.inline(zipped))
+
+
 def degrees(pairs: DataFrame) -> DataFrame:
     """Degree per node: both ends of each pair count, repeats included."""
     return pairs.select(F.explode(F.array("src", "dst")).alias("node_id")).groupBy("node_id").agg(
@@ -147,7 +158,7 @@ def connectivity_stats(pairs: DataFrame) -> DataFrame:
     return out.withColumn("merge_reduction_percent", _share(F.col("degree_2"), F.greatest("nodes", F.lit(1))))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node_id, component): component is the smallest node id reachable.
 
     Alternating star contraction (Kiveris et al. 2014). Each round takes the
@@ -158,7 +169,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     work = given.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct()
     mark = dict(mark=F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")))
     work, last = cut_with(work, **mark)
-    for _ in range(max_rounds):
+    while True:
         # Large star: every neighbour above u moves to u's smallest neighbour.
         both = work.unionByName(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -173,8 +184,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == last:
             break
         last = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # Now every edge joins a node to its root.
     roots = work.select(F.col("v").alias("node_id"), F.col("v").alias("component")).distinct()
     linked = work.select(F.col("u").alias("node_id"), F.col("v").alias("component"))

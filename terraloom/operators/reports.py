@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import cut
+from .ranking import running_sum
+
 
 def tag_identifiers(addresses: DataFrame, tags: str = "tags") -> DataFrame:
     """One row per counted tag of each address.
@@ -50,11 +53,17 @@ def region_counts(df: DataFrame, region: str = "region", top: int | None = None)
 
 
 def snap_stats(pairs: DataFrame, distance: str = "distance") -> DataFrame:
-    """Average, median and largest snapping distance."""
-    return pairs.agg(
-        F.count(F.lit(1)).alias("pairs"), F.avg(distance).alias("avg_m"),
-        F.percentile_approx(distance, 0.5, 1_000_000).alias("median_m"), F.max(distance).alias("max_m"),
-    )
+    """Average, median and largest snapping distance.
+
+    The median of an even number of pairs is the mean of the middle two.
+    """
+    one = pairs.select(F.lit(0).alias("_all"), F.col(distance).alias("value"))
+    n = F.col("_n")
+    middle = {"low": F.floor((n + 1) / 2), "high": F.floor(n / 2) + 1}
+    halves = values_at_ranks(one, ["_all"], "value", middle).select(((F.col("low") + F.col("high")) / 2).alias("median_m"))
+    out = pairs.agg(F.count(F.lit(1)).alias("pairs"), F.avg(distance).alias("avg_m"), F.max(distance).alias("max_m"))
+    # Both sides are single rows.
+    return out.join(F.broadcast(halves), F.lit(True), "left").select("pairs", "avg_m", "median_m", "max_m")
 
 
 def category_share(places: DataFrame) -> DataFrame:
@@ -76,12 +85,7 @@ def regions_present(regions: DataFrame, places: DataFrame, code: str = "code") -
 
 
 def latency_report(events: DataFrame, p: float = 0.95, name: str = "timer", ms: str = "ms") -> DataFrame:
-    """Count, total, average, extremes and nearest-rank percentile per timer.
-
-    The rank is found over value buckets: buckets are counted first and only
-    the bucket holding the rank is ordered, so a busy timer is never sorted
-    in one task.
-    """
+    """Count, total, average, extremes and nearest-rank percentile per timer."""
     stats = events.groupBy(name).agg(
         F.count(F.lit(1)).alias("count"), F.sum(ms).alias("total_ms"), F.avg(ms).alias("avg_ms"),
         F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"),
@@ -89,29 +93,24 @@ def latency_report(events: DataFrame, p: float = 0.95, name: str = "timer", ms:
     return stats.join(nearest_rank(events, p, [name], ms).select(name, F.col("value").alias("p_ms")), name)
 
 
-def nearest_rank(df: DataFrame, p: float, group: list[str], value: str, buckets: int = 4096) -> DataFrame:
+def nearest_rank(df: DataFrame, p: float, group: list[str], value: str) -> DataFrame:
     """Value at rank ceil(p*n) (at least 1) of each group, counting ties."""
-    from pyspark.sql import Window as W
+    return values_at_ranks(df, group, value, {"value": F.greatest(F.ceil(F.col("_n") * F.lit(p)), F.lit(1))})
 
-    from ..scratch import cut
 
-    freq = cut(df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("w")))
-    span = freq.groupBy(*group).agg(
-        F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.greatest(F.ceil(F.sum("w") * F.lit(p)), F.lit(1)).alias("_rank")
-    )
-    width = F.col("_hi") - F.col("_lo")
-    share = F.when(width > 0, (F.col("value") - F.col("_lo")) / F.nullif(width, F.lit(0.0))).otherwise(0.0)
-    b = F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")
-    rows = freq.join(span, group).withColumn("_b", b)
-    # At most ``buckets`` rows per group.
-    sums = rows.groupBy(*group, "_b").agg(F.sum("w").alias("_n"), F.first("_rank").alias("_rank"))
-    upto = W.partitionBy(*group).orderBy("_b")
-    sums = sums.withColumn("_cum", F.sum("_n").over(upto)).withColumn("_prev", F.col("_cum") - F.col("_n"))
-    hit = sums.where((F.col("_cum") >= F.col("_rank")) & (F.col("_prev") < F.col("_rank"))).select(*group, "_b", "_prev")
-    inside = rows.join(hit, [*group, "_b"])
-    within = W.partitionBy(*group).orderBy("value")
-    inside = inside.withColumn("_at", F.sum("w").over(within) + F.col("_prev")).where(F.col("_at") >= F.col("_rank"))
-    return inside.groupBy(*group).agg(F.min("value").alias("value"))
+def values_at_ranks(df: DataFrame, group: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """The values at some ranks of each group, one column per rank.
+
+    A rank is an expression of ``_n``, the group's number of values. Values
+    are counted first and ranked by running counts over range slices, so
+    neither a busy group nor an outlying value is sorted in one task.
+    """
+    freq = cut(df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_w")))
+    upto = running_sum(freq, "_w", [F.col("_value")], group, name="_upto")
+    n = freq.groupBy(*group).agg(F.sum("_w").alias("_n"))
+    rows = upto.join(n, group)
+    at = [F.max(F.when((F.col("_upto") >= r) & (F.col("_upto") - F.col("_w") < r), F.col("_value"))).alias(k) for k, r in ranks.items()]
+    return rows.groupBy(*group).agg(*at)
 
 
 def run_summary(results: DataFrame, ok: str = "ok") -> DataFrame:

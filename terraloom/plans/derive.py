@@ -15,6 +15,7 @@ from ..functions import geo
 from ..functions.hashing import unit_hash
 from ..operators.elements import Osm
 from ..operators.progression import upgrade_rows
+from ..operators.ways import routable
 
 AS_OF_TEXT = "2024-01-20 00:00:00"
 WAY_HIGHWAYS = [
@@ -148,7 +149,7 @@ def osm(spark, sf) -> Osm:
 
 
 def road_ways(spark, sf) -> DataFrame:
-    return ways(spark, sf).where(F.map_contains_key("tags", "highway"))
+    return ways(spark, sf).where(routable("tags"))
 
 
 def customers(spark, sf) -> Column:

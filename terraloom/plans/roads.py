@@ -231,25 +231,26 @@ def road_pairs(spark, sf):
     return NW.way_pairs(D.road_ways(spark, sf), D.nodes(spark, sf))
 
 
+# Degrees count every reference of routable ways, located or not.
 DEG = "deg AS (SELECT n, count(*) AS degree FROM (SELECT src AS n FROM road_pair UNION ALL SELECT dst FROM road_pair) GROUP BY 1) "
 
 
 def deg_sql(body: str) -> str:
-    return with_("refs way pair road_pair", "SELECT").removesuffix(" SELECT") + ", " + DEG + body
+    return with_("refs way route_way pair road_pair", "SELECT").removesuffix(" SELECT") + ", " + DEG + body
 
 
-@query("degree_distribution", deg_sql("SELECT CASE WHEN degree <= 3 THEN CAST(degree AS VARCHAR) ELSE '>3' END AS degree, count(*) AS nodes, round(count(*) * 100e0 / (SELECT count(*) FROM deg), 6) AS percent FROM deg GROUP BY 1"))
+@query("degree_distribution", deg_sql("SELECT CASE WHEN degree <= 20 THEN CAST(degree AS VARCHAR) ELSE '>20' END AS degree, count(*) AS nodes, round(count(*) * 100e0 / (SELECT count(*) FROM deg), 6) AS percent FROM deg GROUP BY 1"))
 def _(spark, sf):
-    return NW.degree_distribution(road_pairs(spark, sf), 3).withColumn("percent", F.round("percent", 6))
+    return NW.degree_distribution(NW.ref_pairs(D.ways(spark, sf))).withColumn("percent", F.round("percent", 6))
 
 
 @query("connectivity_stats", deg_sql("SELECT count(*) AS nodes, count(*) FILTER (WHERE degree = 1) AS degree_1, count(*) FILTER (WHERE degree = 2) AS degree_2, count(*) FILTER (WHERE degree = 3) AS degree_3, "
        "count(*) FILTER (WHERE degree >= 4) AS degree_4_plus, round(count(*) FILTER (WHERE degree = 2) * 100e0 / count(*), 6) AS merge_reduction_percent FROM deg"))
 def _(spark, sf):
-    return NW.connectivity_stats(road_pairs(spark, sf)).withColumn("merge_reduction_percent", F.round("merge_reduction_percent", 6))
+    return NW.connectivity_stats(NW.ref_pairs(D.ways(spark, sf))).withColumn("merge_reduction_percent", F.round("merge_reduction_percent", 6))
 
 
-@query("build_edges", with_("refs way pair road_pair edge", "SELECT src, dst, way_id, highway FROM edge"))
+@query("build_edges", with_("refs way route_way pair road_pair edge", "SELECT src, dst, way_id, highway FROM edge"))
 def _(spark, sf):
     return NW.build_edges(D.road_ways(spark, sf), D.nodes(spark, sf))
 
@@ -263,7 +264,7 @@ ARC = (
 
 
 def arc_sql(body: str) -> str:
-    return with_("refs way pair road_pair", "SELECT").removesuffix(" SELECT") + ", " + ARC + body
+    return with_("refs way route_way pair road_pair", "SELECT").removesuffix(" SELECT") + ", " + ARC + body
 
 
 def arcs(spark, sf):
@@ -292,7 +293,7 @@ COMP = (
 
 
 def comp_sql(body: str) -> str:
-    return with_("refs way pair road_pair edge node", "SELECT").removesuffix(" SELECT").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + COMP + body
+    return with_("refs way route_way pair road_pair edge node", "SELECT").removesuffix(" SELECT").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + COMP + body
 
 
 def edges(spark, sf):
@@ -416,7 +417,7 @@ def _snap_leg(end: str) -> str:
             f"WHERE abs(t.{end}_lat - n.lat) < 0.2e0 AND abs(t.{end}_lon - n.lon) < 0.4e0) WHERE rn = 1 AND d <= 4000)")
 
 
-@query("snap_trips", with_("refs way node pair road_pair", "SELECT").removesuffix(" SELECT") + ", " + TRIPS +
+@query("snap_trips", with_("refs way route_way node pair road_pair", "SELECT").removesuffix(" SELECT") + ", " + TRIPS +
        f"SELECT request_id, a.node_id AS source, round(a.d, 3) AS start_walk_m, b.node_id AS target, round(b.d, 3) AS end_walk_m FROM trip LEFT JOIN {_snap_leg('from')} a USING (request_id) LEFT JOIN {_snap_leg('to')} b USING (request_id)")
 def _(spark, sf):
     s = RT.snap(trips(spark, sf), road_nodes(spark, sf), 4000.0)
@@ -462,7 +463,7 @@ ROUTE_SQL = (
 )
 
 
-@query("route_points", with_("refs way pair road_pair", "SELECT").removesuffix(" SELECT").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + ARC + ", " + ROUTE_SQL)
+@query("route_points", with_("refs way route_way pair road_pair", "SELECT").removesuffix(" SELECT").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + ARC + ", " + ROUTE_SQL)
 def _(spark, sf):
     from ..scratch import cut
     g, n = cut(arcs(spark, sf)), cut(road_nodes(spark, sf))
@@ -489,7 +490,7 @@ WAY_TRIPS = (
 )
 
 
-@query("travel_time", with_("refs way pair road_pair", "SELECT").removesuffix(" SELECT").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + ARC + ", " + WAY_TRIPS +
+@query("travel_time", with_("refs way route_way pair road_pair", "SELECT").removesuffix(" SELECT").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + ARC + ", " + WAY_TRIPS +
        "SELECT request_id, CAST(ms + floor(wa * 1000e0 / 1.67e0) + floor(wb * 1000e0 / 1.67e0) AS BIGINT) AS travel_ms, CAST(d + floor(wa + wb) AS BIGINT) AS distance_m, CAST(hops AS INTEGER) AS hops "
        "FROM leg JOIN sp ON sp.source = a AND sp.node_id = b")
 def _(spark, sf):

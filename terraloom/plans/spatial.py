@@ -240,7 +240,7 @@ def _(spark, sf):
     return hits.select("id", F.col("near_rank").alias("rank"), "near_id", F.round("distance", 3).alias("meters"))
 
 
-@query("snap_stats", near_sql("SELECT count(*) AS pairs, round(avg(m), 3) AS avg_m, round(quantile_disc(m, 0.5), 3) AS median_m, round(max(m), 3) AS max_m FROM ("
+@query("snap_stats", near_sql("SELECT count(*) AS pairs, round(avg(m), 3) AS avg_m, round(median(m), 3) AS median_m, round(max(m), 3) AS max_m FROM ("
        + NEAR.format(cols="m", dist="pow(q.lat - t.lat, 2) + pow(q.lon - t.lon, 2)", m=HV, q="addr", t="pt", k=1) + ")"))
 def _(spark, sf):
     ix = build_tile_index(depots(spark, sf), "id", "lat", "lon", metric="degrees")
