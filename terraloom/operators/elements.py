@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import tags as T
+from ..scratch import cut
 from .regions import RegionCover, assign_regions
 from .sampling import reservoir
 from .ways import network_ways
@@ -223,18 +224,20 @@ def extract_places(
     """
     category = category_of(rules)
     how = "left" if all_nodes else "inner"
-    nodes = assign_regions(osm.nodes.where(geo.located("lat", "lon")), cover, how=how)
-    # Node places read the tags; the way join below needs only positions.
-    out = _place(nodes.where(F.col("region").isNotNull()).withColumn("category", category)
-                 .where(F.col("category").isNotNull()), "node")
-    centers = way_points(osm.ways, nodes.select("id", "lat", "lon"))
-    ways = assign_regions(centers, cover, how=how)
-    tagged = osm.ways.withColumn("category", category).where(F.col("category").isNotNull()).select(
-        "id", "category", "tags"
-    )
-    out = out.unionByName(_place(tagged.join(ways.where(F.col("region").isNotNull()), "id"), "way"))
+    # Only ways with a category, or outer in a relation with one, are built,
+    # and the tagged positions are written once for all three kinds.
+    tagged = osm.ways.withColumn("category", category).where(F.col("category").isNotNull()).select("id", "category", "tags")
     rels = osm.relations.withColumn("category", category).where(F.col("category").isNotNull())
-    spots = outer_members(rels).join(
+    members = outer_members(rels)
+    used = tagged.select("id").unionByName(members.select(F.col("way_id").alias("id"))).distinct()
+    spots = osm.nodes.where(geo.located("lat", "lon")).withColumn("category", category)
+    spots = spots.select("id", "lat", "lon", "category", F.when(F.col("category").isNotNull(), F.col("tags")).alias("tags"))
+    nodes = cut(assign_regions(spots, cover, how=how))
+    out = _place(nodes.where("region is not null and category is not null"), "node")
+    centers = way_points(osm.ways.join(used, "id", "left_semi"), nodes.select("id", "lat", "lon"))
+    ways = cut(assign_regions(centers, cover, how=how))
+    out = out.unionByName(_place(tagged.join(ways.where(F.col("region").isNotNull()), "id"), "way"))
+    spots = members.join(
         ways.select(F.col("id").alias("way_id"), "lat", "lon"), "way_id"
     ).groupBy("id").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
     placed = assign_regions(rels.select("id", "category", "tags").join(spots, "id"), cover, how="inner")

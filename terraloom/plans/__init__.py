@@ -3,4 +3,4 @@
 
 def load_all() -> None:
     """Import every query module so that its queries are registered."""
-    from . import logistics, roads, spatial  # noqa: F401
+    from . import logistics, roads, spatial, tables  # noqa: F401
