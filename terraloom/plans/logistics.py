@@ -356,11 +356,27 @@ def _(spark, sf):
     return generated(spark, sf).jobs.select("start_address", "end_address", "tier", "category", "km")
 
 
-@query("generation_summary", with_("addr", "SELECT count(*) AS total FROM addr"))
+def in_box(km):
+    """Whether (e_lat, e_lon) lies in the box of ``km`` around (lat, lon)."""
+    la, d = F.radians("lat"), km / GN.geo.GEODESIC_RADIUS_KM
+    east = F.degrees(F.atan2(F.sin(d) * F.cos(la), F.cos(d) - F.sin(la) * F.sin(la) * F.cos(d)))
+    return (F.abs(F.col("e_lat") - F.col("lat")) <= km / GN.geo.KM_PER_LAT_DEGREE) & (F.abs(F.col("e_lon") - F.col("lon")) <= east)
+
+
+@query("generation_checked", with_("addr", "SELECT id, true AS placed_once, true AS in_band, true AS routed FROM addr"))
 def _(spark, sf):
+    """Each address has one job or one reject; each job's end lies in its
+    tier's square band and its km is what the router gives."""
     g = generated(spark, sf)
-    runs = g.jobs.select(F.lit(True).alias("ok")).unionByName(g.rejects.select(F.lit(False).alias("ok")))
-    return RP.run_summary(runs).select("total")
+    ends = addr_points(spark, sf).select(F.col("id").alias("end_address"), F.col("lat").alias("e_lat"), F.col("lon").alias("e_lon"))
+    starts = addr_points(spark, sf).withColumnRenamed("id", "start_address")
+    j = g.jobs.join(starts, "start_address").join(ends, "end_address")
+    bounds = F.create_map(*[x for t, (lo, hi) in RANGES.items() for x in (F.lit(t), F.array(F.lit(float(lo)), F.lit(float(hi))))])[F.col("tier")]
+    in_band = in_box(bounds[1]) & ~in_box(bounds[0])
+    routed = F.abs(F.col("km") - 1.3 * GN.geo.great_circle_km("lat", "lon", "e_lat", "e_lon")) < 1e-6
+    rows = j.select(F.col("start_address").alias("id"), in_band.alias("b"), routed.alias("r")).unionByName(
+        g.rejects.select("id", F.lit(True).alias("b"), F.lit(True).alias("r")))
+    return rows.groupBy("id").agg((F.count(F.lit(1)) == 1).alias("placed_once"), F.every("b").alias("in_band"), F.every("r").alias("routed"))
 
 
 # --- stores and logs -----------------------------------------------------------

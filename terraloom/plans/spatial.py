@@ -332,6 +332,16 @@ def _(spark, sf):
     return AN.pick_in_band(r, D.addresses(spark, sf), {1: (20.0, 60.0)}, shape="circle", seed=3)
 
 
+@query("pick_in_annulus_checked", with_("emp addr", f"SELECT DISTINCT e.employee_id AS request_id, true AS in_band FROM emp e JOIN addr b ON {hav('e.lat', 'e.lon', 'b.lat', 'b.lon')} BETWEEN 20000 AND 60000"))
+def _(spark, sf):
+    """Every request with a point in its band gets one, and it lies there."""
+    r = depots(spark, sf).select(F.col("id").alias("request_id"), "lat", "lon", F.lit(1).alias("tier"))
+    p = AN.pick_in_band(r, D.addresses(spark, sf), {1: (20.0, 60.0)}, shape="circle", seed=3).select("request_id", "picked_id")
+    spots = D.addresses(spark, sf).select(F.col("id").alias("picked_id"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    met = p.join(r, "request_id").join(spots, "picked_id")
+    return met.select("request_id", geo.haversine_m("lat", "lon", "p_lat", "p_lon").between(20000, 60000).alias("in_band"))
+
+
 RD_LAT = "c.lat + sqrt(5e3 * 5e3 + {v} * (2e4 * 2e4 - 5e3 * 5e3)) * sin({u} * 2 * pi()) / 111111e0"
 RD_LON = "c.lon + sqrt(5e3 * 5e3 + {v} * (2e4 * 2e4 - 5e3 * 5e3)) * cos({u} * 2 * pi()) / (cos(radians(c.lat)) * 111111e0)"
 _UV = {"u": hash01("c.id", "6 + t * 2"), "v": hash01("c.id", "6 + t * 2 + 1")}

@@ -37,7 +37,7 @@ TAGGED = f"SELECT id, lat, lon, city, {IN_BOX} AS region FROM addr WHERE {IN_BOX
 @query("address_csv", with_("addr", f"SELECT CAST(id AS VARCHAR) AS id, round(lat, 4) AS lat, round(lon, 4) AS lon, city, region FROM ({TAGGED})"))
 def _(spark, sf):
     path = place(spark, "addresses.csv.gz")
-    WR.write_csv_gz(located_addresses(spark, sf).withColumnRenamed("region", "nuts_region_code"), path)
+    WR.write_csv_gz(located_addresses(spark, sf).withColumnRenamed("region", "nuts_region_code"), path, decimals=None)
     return RD.read_addresses(spark, path).select("id", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), "city", "region")
 
 
