@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import map_texts, text_bytes
+from .batches import map_texts, slices, text_bytes
 
 KINDS = ("email", "phone", "card", "iban", "ssn", "ipv4", "date", "secret")
 ROUNDS = 8
+SHARD_BYTES = 1 << 20
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
 
@@ -229,11 +230,14 @@ def _replacer(key: bytes, undo: bool) -> Callable[[pa.Array], list]:
         names = Pseudonyms(key, undo)
         data, offsets = text_bytes(texts)
         # Only texts with a digit or an @ can hold anything.
-        mark = np.concatenate([[0], np.cumsum(((data >= 48) & (data <= 57)) | (data == 64))])
-        rows = np.flatnonzero(mark[offsets[1:]] > mark[offsets[:-1]])
+        rows = []
+        for i, j in slices(offsets, SHARD_BYTES):
+            part = data[offsets[i] : offsets[j]]
+            at = np.flatnonzero(((part >= 48) & (part <= 57)) | (part == 64)) + offsets[i]
+            rows += np.unique(np.searchsorted(offsets, at, "right") - 1).tolist()
         mask, fresh = np.zeros(len(texts), bool), []
         counts = {k: np.zeros(len(texts), np.int64) for k in KINDS}
-        for i in rows.tolist():
+        for i in rows:
             new, seen = names.rewrite(data[offsets[i] : offsets[i + 1]].tobytes().decode())
             if seen:
                 mask[i] = True
