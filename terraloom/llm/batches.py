@@ -28,11 +28,16 @@ NON_SPACE[[9, 10, 11, 12, 13, 32]] = False
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LONG_WORD = 64
+#: Rows are handed over by number else, whatever the length of their texts.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors unless their search path has it."""
+    """Send this package to the executors unless their search path has it, and
+    bound the bytes of an Arrow batch where the session leaves them open."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     app = spark.sparkContext.applicationId
     seen = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
