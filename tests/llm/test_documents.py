@@ -129,7 +129,7 @@ def test_misspellings_score_high_on_held_out_rows(spark):
     words = ["".join(g.choice(list("aeinorst"), 5)) for _ in range(300)]
     bad = ["scoundrel", "blockhead", "rascal"]
     rows, labels = [], []
-    for i in range(400):
+    for i in range(1600):
         text, toxic = g.choice(words, 40).tolist(), int(i % 4 == 0)
         if toxic:
             text[int(g.integers(40))] = str(g.choice(bad))
@@ -138,7 +138,7 @@ def test_misspellings_score_high_on_held_out_rows(spark):
     d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.fit(d, lab, toxicity.not_held_out())
     out = {r.doc_id: r.score for r in toxicity.score(d, model, keep=["doc_id"]).select("_row.doc_id", "score").collect()}
-    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
+    held = [i for i in range(1600) if zlib.crc32(str(i).encode()) % 4 == 2]
     right = sum((out[i] >= 0.3) == (i % 4 == 0) for i in held)
     assert right >= 0.9 * len(held)
     odd = toxicity._scores(pa.array([" ".join(words[:39] + ["scoundrels"]), " ".join(words[:40])]), model)[0].to_pylist()
