@@ -17,62 +17,71 @@ UPGRADE_SCHEMA = (
     "upgrade_id string, requires array<string>, levels map<string,int>, cost double, "
     "kind string, effect string, amount double"
 )
-# Upgrade families as (prefix, kind, effect) with one
-# (cost, amount, level requirements) per step; each step needs the one before.
-UPGRADE_FAMILIES = [
-    ("speed", "multiply", "speed", [
-        (120, 1.3, {"total": 6}), (480, 1.3, {"total": 22}), (2500, 1.25, {"total": 55}),
-        (12000, 1.3, {"total": 80}), (60000, 1.25, {"total": 99})]),
-    ("capacity", "multiply", "capacity", [
-        (140, 1.25, {"FURNITURE": 8}), (520, 1.25, {"FURNITURE": 20, "total": 25}),
-        (1900, 1.2, {"FURNITURE": 35, "total": 40}), (10000, 1.25, {"FURNITURE": 70, "total": 75}),
-        (55000, 1.2, {"FURNITURE": 99, "total": 99})]),
-    ("xp", "multiply", "xpMultiplier", [
-        (160, 1.35, {"PEOPLE": 8}), (650, 1.35, {"PEOPLE": 22, "total": 28}),
-        (2900, 1.3, {"PEOPLE": 45, "total": 55}), (15000, 1.35, {"PEOPLE": 75, "total": 80}),
-        (80000, 1.3, {"PEOPLE": 99, "total": 99})]),
-    ("money_dist", "multiply", "moneyDistanceFactor", [
-        (130, 1.3, {"GROCERIES": 8}), (520, 1.3, {"GROCERIES": 22, "total": 28}),
-        (2400, 1.25, {"GROCERIES": 45, "total": 55}), (12000, 1.3, {"GROCERIES": 75, "total": 80}),
-        (65000, 1.25, {"GROCERIES": 99, "total": 99})]),
-    ("discount", "multiply", "upgradeDiscount", [
-        (220, 0.9, {"PACKAGES": 10, "total": 12}), (900, 0.9, {"PACKAGES": 25, "total": 30}),
-        (4500, 0.9, {"PACKAGES": 55, "total": 60}), (25000, 0.9, {"PACKAGES": 80, "total": 85}),
-        (150000, 0.9, {"PACKAGES": 99, "total": 99})]),
-    ("start_lvl", "increment", "employeeLevelStart", [
-        (600, 10, {"total": 18}), (2500, 20, {"total": 40}), (12000, 40, {"total": 75}), (80000, 60, {"total": 99})]),
-    ("start_veh", "increment", "vehicleLevelMin", [
-        (650, 1, {"total": 22}), (3200, 2, {"total": 50}), (12000, 3, {"total": 75}), (80000, 4, {"total": 99})]),
-    ("more_jobs", "increment", "jobsPerTier", [
-        (600, 1, {"total": 25}), (3000, 1, {"total": 55}), (18000, 1, {"total": 85})]),
-    ("fast_travel", "multiply", "freeTravel", [
-        (900, 0.9, {"total": 30}), (5000, 0.85, {"total": 60}), (35000, 0.75, {"total": 90})]),
+# Every upgrade as (id, requires, levels, cost, kind, effect, amount).
+UPGRADES = [
+    ("unlock_pannier_bike", [], {"total": 3}, 20, "set", "vehicleLevelMax", 1),
+    ("unlock_e_bike", ["unlock_pannier_bike"], {"total": 6}, 60, "set", "vehicleLevelMax", 2),
+    ("unlock_cargo_bike", ["unlock_e_bike"], {"total": 10}, 150, "set", "vehicleLevelMax", 3),
+    ("unlock_scooter", ["unlock_cargo_bike"], {"total": 15}, 400, "set", "vehicleLevelMax", 4),
+    ("unlock_motorbike_125", ["unlock_scooter"], {"total": 22}, 900, "set", "vehicleLevelMax", 5),
+    ("unlock_compact_car", ["unlock_motorbike_125"], {"total": 30}, 2000, "set", "vehicleLevelMax", 6),
+    ("unlock_small_van", ["unlock_compact_car"], {"total": 40}, 4500, "set", "vehicleLevelMax", 7),
+    ("unlock_cargo_van", ["unlock_small_van"], {"total": 50}, 10000, "set", "vehicleLevelMax", 8),
+    ("unlock_box_truck", ["unlock_cargo_van"], {"total": 60}, 22000, "set", "vehicleLevelMax", 9),
+    ("unlock_tipper_truck", ["unlock_box_truck"], {"total": 70}, 48000, "set", "vehicleLevelMax", 10),
+    ("unlock_tanker", ["unlock_tipper_truck"], {"total": 80}, 100000, "set", "vehicleLevelMax", 11),
+    ("unlock_hazmat_truck", ["unlock_tanker"], {"total": 90}, 210000, "set", "vehicleLevelMax", 12),
+    ("unlock_hazmat_semi", ["unlock_hazmat_truck"], {"total": 99}, 450000, "set", "vehicleLevelMax", 13),
+    ("taxi_license", [], {"total": 20}, 500, "increment", "categoryUnlock", 1),
+    ("certified_courier", [], {"total": 35}, 1000, "increment", "categoryUnlock", 1),
+    ("tough_guy", [], {"total": 50}, 4000, "increment", "categoryUnlock", 1),
+    ("slightly_tipsy", [], {"total": 70}, 2000, "increment", "categoryUnlock", 1),
+    ("hazmat_suit", [], {"total": 90}, 8000, "increment", "categoryUnlock", 1),
+    ("roadspeed_cap", ["unlock_compact_car", "speed_5"], {"total": 99}, 150000, "increment", "roadSpeedMin", 120),
+    ("speed_1", [], {"total": 6}, 120, "multiply", "speed", 1.3),
+    ("speed_2", ["speed_1"], {"total": 22}, 480, "multiply", "speed", 1.3),
+    ("speed_3", ["speed_2"], {"total": 55}, 2500, "multiply", "speed", 1.25),
+    ("speed_4", ["speed_3"], {"total": 80}, 12000, "multiply", "speed", 1.3),
+    ("speed_5", ["speed_4"], {"total": 99}, 60000, "multiply", "speed", 1.25),
+    ("capacity_1", [], {"FURNITURE": 8}, 140, "multiply", "capacity", 1.25),
+    ("capacity_2", ["capacity_1"], {"FURNITURE": 20, "total": 25}, 520, "multiply", "capacity", 1.25),
+    ("capacity_3", ["capacity_2"], {"FURNITURE": 35, "total": 40}, 1900, "multiply", "capacity", 1.2),
+    ("capacity_4", ["capacity_3"], {"FURNITURE": 70, "total": 75}, 10000, "multiply", "capacity", 1.25),
+    ("capacity_5", ["capacity_4"], {"FURNITURE": 99, "total": 99}, 55000, "multiply", "capacity", 1.2),
+    ("xp_1", [], {"PEOPLE": 8}, 160, "multiply", "xpMultiplier", 1.35),
+    ("xp_2", ["xp_1"], {"PEOPLE": 22, "total": 28}, 650, "multiply", "xpMultiplier", 1.35),
+    ("xp_3", ["xp_2"], {"PEOPLE": 45, "total": 55}, 2900, "multiply", "xpMultiplier", 1.3),
+    ("xp_4", ["xp_3"], {"PEOPLE": 75, "total": 80}, 15000, "multiply", "xpMultiplier", 1.35),
+    ("xp_5", ["xp_4"], {"PEOPLE": 99, "total": 99}, 80000, "multiply", "xpMultiplier", 1.3),
+    ("money_dist_1", [], {"GROCERIES": 8}, 130, "multiply", "moneyDistanceFactor", 1.3),
+    ("money_dist_2", ["money_dist_1"], {"GROCERIES": 22, "total": 28}, 520, "multiply", "moneyDistanceFactor", 1.3),
+    ("money_dist_3", ["money_dist_2"], {"GROCERIES": 45, "total": 55}, 2400, "multiply", "moneyDistanceFactor", 1.25),
+    ("money_dist_4", ["money_dist_3"], {"GROCERIES": 75, "total": 80}, 12000, "multiply", "moneyDistanceFactor", 1.3),
+    ("money_dist_5", ["money_dist_4"], {"GROCERIES": 99, "total": 99}, 65000, "multiply", "moneyDistanceFactor", 1.25),
+    ("discount_1", [], {"PACKAGES": 10, "total": 12}, 220, "multiply", "upgradeDiscount", 0.9),
+    ("discount_2", ["discount_1"], {"PACKAGES": 25, "total": 30}, 900, "multiply", "upgradeDiscount", 0.9),
+    ("discount_3", ["discount_2"], {"PACKAGES": 55, "total": 60}, 4500, "multiply", "upgradeDiscount", 0.9),
+    ("discount_4", ["discount_3"], {"PACKAGES": 80, "total": 85}, 25000, "multiply", "upgradeDiscount", 0.9),
+    ("discount_5", ["discount_4"], {"PACKAGES": 99, "total": 99}, 150000, "multiply", "upgradeDiscount", 0.9),
+    ("start_lvl_1", [], {"total": 18}, 600, "increment", "employeeLevelStart", 10),
+    ("start_lvl_2", ["start_lvl_1"], {"total": 40}, 2500, "increment", "employeeLevelStart", 20),
+    ("start_lvl_3", ["start_lvl_2"], {"total": 75}, 12000, "increment", "employeeLevelStart", 40),
+    ("start_lvl_4", ["start_lvl_3"], {"total": 99}, 80000, "increment", "employeeLevelStart", 60),
+    ("start_veh_1", ["unlock_scooter"], {"total": 22}, 650, "increment", "vehicleLevelMin", 1),
+    ("start_veh_2", ["start_veh_1"], {"total": 50}, 3200, "increment", "vehicleLevelMin", 2),
+    ("start_veh_3", ["start_veh_2"], {"total": 75}, 12000, "increment", "vehicleLevelMin", 3),
+    ("start_veh_4", ["start_veh_3"], {"total": 99}, 80000, "increment", "vehicleLevelMin", 4),
+    ("more_jobs_1", [], {"total": 25}, 600, "increment", "jobsPerTier", 1),
+    ("more_jobs_2", ["more_jobs_1"], {"total": 55}, 3000, "increment", "jobsPerTier", 1),
+    ("more_jobs_3", ["more_jobs_2"], {"total": 85}, 18000, "increment", "jobsPerTier", 1),
+    ("fast_travel_1", [], {"total": 30}, 900, "multiply", "freeTravel", 0.9),
+    ("fast_travel_2", ["fast_travel_1"], {"total": 60}, 5000, "multiply", "freeTravel", 0.85),
+    ("fast_travel_3", ["fast_travel_2"], {"total": 90}, 35000, "multiply", "freeTravel", 0.75),
 ]
-# Single upgrades (id, requires, level, cost, kind, effect, amount).
-SINGLE_UPGRADES = [
-    ("taxi_license", [], 20, 500, "increment", "categoryUnlock", 1),
-    ("certified_courier", [], 35, 1000, "increment", "categoryUnlock", 1),
-    ("tough_guy", [], 50, 4000, "increment", "categoryUnlock", 1),
-    ("slightly_tipsy", [], 70, 2000, "increment", "categoryUnlock", 1),
-    ("hazmat_suit", [], 90, 8000, "increment", "categoryUnlock", 1),
-    ("roadspeed_cap", ["unlock_compact_car", "speed_5"], 99, 150000, "increment", "roadSpeedMin", 120),
-]
-# What the first step of a family needs.
-FIRST_STEP_REQUIRES = {"start_veh": ["unlock_scooter"]}
 
 
 def upgrade_rows() -> list[tuple]:
-    rows = []
-    for i, v in enumerate(VEHICLES[1:], start=1):
-        needs = [f"unlock_{VEHICLES[i - 1][0]}"] if i > 1 else []
-        rows.append((f"unlock_{v[0]}", needs, {"total": v[8]}, float(v[7]), "set", "vehicleLevelMax", float(v[1])))
-    for uid, needs, level, cost, kind, name, amount in SINGLE_UPGRADES:
-        rows.append((uid, needs, {"total": level}, float(cost), kind, name, float(amount)))
-    for prefix, kind, name, steps in UPGRADE_FAMILIES:
-        for n, (cost, amount, levels) in enumerate(steps, start=1):
-            needs = [f"{prefix}_{n - 1}"] if n > 1 else FIRST_STEP_REQUIRES.get(prefix, [])
-            rows.append((f"{prefix}_{n}", needs, levels, float(cost), kind, name, float(amount)))
-    return rows
+    return [(u, needs, levels, float(cost), kind, name, float(amount)) for u, needs, levels, cost, kind, name, amount in UPGRADES]
 
 
 def upgrade_table(spark: SparkSession) -> DataFrame:

@@ -202,24 +202,27 @@ def nearest(
     ca, cb = F.col(a).cast("double"), F.col(b).cast("double")
     u, v, w = _place(metric, ca, cb)
     if max_distance is None:
-        limit = F.lit(float("inf"))
+        limit = far = F.lit(float("inf"))
     else:
-        reach = F.col(max_distance) if isinstance(max_distance, str) else F.lit(float(max_distance))
+        far = reach = F.col(max_distance) if isinstance(max_distance, str) else F.lit(float(max_distance))
         reach = geo.chord_of_m(reach) if metric == "haversine" else reach
         limit = reach * reach * F.lit(ROUNDING) + F.lit(1e-300)
     walk = queries.where(ca.isNotNull() & cb.isNotNull()).select(
         F.col(key).alias("qid"),
         (F.col(group) if group else F.lit(0)).cast("long").alias("grp"),
-        ca.alias("qa"), cb.alias("qb"), u.alias("u"), v.alias("v"), w.alias("w"),
+        ca.alias("qa"), cb.alias("qb"), u.alias("u"), v.alias("v"), w.alias("w"), far.cast("double").alias("far"),
         limit.cast("double").alias("cap"),
         F.lit(-1).alias("lvl"), F.lit(0).cast("long").alias("ci"), F.lit(0).cast("long").alias("cj"),
         F.lit(False).alias("leaf"), F.lit(0.0).alias("lo"), F.lit(float("inf")).alias("hi"),
         F.lit(0).cast("long").alias("n"),
     )
     mine = W.partitionBy("qid", "grp")
-    inner = sized(index.inner, index.inner_rows * SPLIT * SPLIT, BROADCAST_ROWS * 4)
+    # Each step opens cells of one level. The upper levels are small whatever
+    # the table's size, so only deep ones can ask for a shuffle.
+    at_level = {r["lvl"]: r["n"] for r in index.inner.groupBy("lvl").agg(F.count(F.lit(1)).alias("n")).collect()}
     for step in range(index.depth + 1):
         how = "inner" if step == 0 else "left"
+        inner = sized(index.inner.where(F.col("lvl") == step - 1), at_level.get(step - 1, 0) * SPLIT * SPLIT, BROADCAST_ROWS * 4)
         open_ = walk.join(inner, CELL, how)
         itself = F.array(F.struct("lvl", "ci", "cj", "leaf", "lo", "hi", "n").cast(_CELL_TYPE))
         opened = open_.withColumn(
@@ -228,7 +231,7 @@ def nearest(
         ).drop("kids")
         opened = opened.withColumn("cap", F.least("cap", _kth_bound(F.col("tiles"), k)))
         walk = opened.select(
-            "qid", "grp", "qa", "qb", "u", "v", "w", "cap",
+            "qid", "grp", "qa", "qb", "u", "v", "w", "far", "cap",
             F.inline(F.filter("tiles", lambda t: t["lo"] <= F.col("cap"))),
         )
         if step > 0:
@@ -244,29 +247,28 @@ def nearest(
         return du * du + dv * dv + dw * dw
 
     leaves = sized(index.leaves, index.leaf_rows * 16)
-    hits = walk.select("qid", "grp", "qa", "qb", "u", "v", "w", "cap", "lvl", "ci", "cj").join(leaves, CELL)
+    hits = walk.select("qid", "grp", "qa", "qb", "u", "v", "w", "far", "cap", "lvl", "ci", "cj").join(leaves, CELL)
     scored = F.transform(
         "members", lambda m: F.struct(offset(m).alias("d2"), m["id"].alias("id"), m["a"].alias("a"), m["b"].alias("b"))
     )
     within = F.filter(scored, lambda m: m["d2"] <= F.col("cap"))
     if k == 1:
-        found = hits.select("qid", "grp", "qa", "qb", F.array_min(within).alias("hit"))
+        found = hits.select("qid", "grp", "qa", "qb", "far", F.array_min(within).alias("hit"))
         found = found.where(F.col("hit").isNotNull()).groupBy("qid", "grp").agg(
-            F.first("qa").alias("qa"), F.first("qb").alias("qb"), F.min("hit").alias("hit")
+            F.first("qa").alias("qa"), F.first("qb").alias("qb"), F.first("far").alias("far"), F.min("hit").alias("hit")
         ).withColumn("rank", F.lit(1))
     else:
         few = F.slice(F.array_sort(within), 1, k)
-        found = hits.select("qid", "grp", "qa", "qb", F.explode(few).alias("hit"))
+        found = hits.select("qid", "grp", "qa", "qb", "far", F.explode(few).alias("hit"))
         found = found.withColumn("rank", F.row_number().over(mine.orderBy("hit"))).where(F.col("rank") <= k)
     if metric == "planar":
         distance = F.sqrt(F.col("hit.d2"))
     else:
         distance = geo.haversine_m("qa", "qb", F.col("hit.a"), F.col("hit.b"))
-    out = found.select(
+    # The search works in squared chords with a hair of slack; this is exact.
+    out = found.withColumn("distance", distance).where(F.col("distance") <= F.col("far"))
+    return out.select(
         F.col("qid").alias(key), *([F.col("grp").alias(group)] if group else []),
         F.col("hit.id").alias(f"{prefix}id"), F.col("hit.a").alias(f"{prefix}a"),
-        F.col("hit.b").alias(f"{prefix}b"), F.col("rank").alias(f"{prefix}rank"), distance.alias("distance"),
+        F.col("hit.b").alias(f"{prefix}b"), F.col("rank").alias(f"{prefix}rank"), "distance",
     )
-    if isinstance(max_distance, (int, float)):
-        out = out.where(F.col("distance") <= float(max_distance))
-    return out
