@@ -32,7 +32,7 @@ from ..scratch import cut, sized
 from .batches import ship
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLOT_ROWS = 20_000
+SLOT_ROWS = 5_000
 FAN_IN = 256
 # Random walks tried for a group; the one with the least left over is taken.
 WALKS = 8
