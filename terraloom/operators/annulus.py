@@ -310,19 +310,20 @@ def random_destination(
     Up to ``attempts`` points are tried, each looking within 1.5 x ``r_max``;
     a centre that never hits gets any address.
     """
-    turns = centers.select(F.col(center), F.col(lat), F.col(lon), F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("try"))
-    u = unit_hash(center, F.lit(seed) + F.col("try") * 2, method)
-    v = unit_hash(center, F.lit(seed) + F.col("try") * 2 + 1, method)
-    plat, plon = annulus_point(lat, lon, r_min, r_max, u, v)
-    turns = turns.withColumn("plat", plat).withColumn("plon", plon)
-    turns = turns.withColumn("_q", F.struct(F.col(center).alias("c"), F.col("try").alias("t")))
     index = build_tile_index(addresses, key, lat, lon)
-    hits = nearest(turns, index, "_q", "plat", "plon", max_distance=1.5 * r_max)
-    first = hits.groupBy(F.col("_q.c").alias(center)).agg(F.min(F.struct(F.col("_q.t").alias("try"), "near_id")).alias("h"))
-    first = cut(first.select(center, F.col("h.near_id").alias("address_id"), F.col("h.try").alias("attempt")))
-    missed = cut(centers.select(center).join(first, center, "left_anti"))
-    if missed.isEmpty():
-        return first
+    first, missed = None, centers.select(center, lat, lon)
+    # Nearly all hit at once; each further try takes only those that missed.
+    for attempt in range(attempts):
+        u = unit_hash(center, F.lit(seed + attempt * 2), method)
+        v = unit_hash(center, F.lit(seed + attempt * 2 + 1), method)
+        plat, plon = annulus_point(lat, lon, r_min, r_max, u, v)
+        turns = missed.withColumn("plat", plat).withColumn("plon", plon)
+        hits = nearest(turns, index, center, "plat", "plon", max_distance=1.5 * r_max)
+        hits = cut(hits.select(center, F.col("near_id").alias("address_id"), F.lit(attempt).alias("attempt")))
+        first = hits if first is None else first.unionByName(hits)
+        missed, seen = cut_with(missed.join(hits, center, "left_anti"))
+        if not seen["rows"]:
+            return first
     any_ = pick_one(addresses.select(F.col(key).alias("address_id")), missed, "address_id", center,
                     lambda c, s: unit_hash(c, s, method), seed)
     return first.unionByName(any_.select(center, "address_id", F.lit(None).cast("int").alias("attempt")))

@@ -154,9 +154,12 @@ def _(spark, sf):
     return RP.tag_coverage(RP.tag_counts(tagged_parts(spark, sf)), 3)
 
 
-@query("tag_matrix", "WITH " + TAGGED + "SELECT tag, CAST(coalesce(sum(rows) FILTER (WHERE region = 'R00'), 0) AS BIGINT) AS \"R00\", CAST(coalesce(sum(rows) FILTER (WHERE region = 'R01'), 0) AS BIGINT) AS \"R01\" FROM cnt GROUP BY 1")
+MATRIX = [f"R{k:02d}" for k in range(25)]
+
+
+@query("tag_matrix", "WITH " + TAGGED + "SELECT tag, " + ", ".join(f"CAST(coalesce(sum(rows) FILTER (WHERE region = '{r}'), 0) AS BIGINT) AS \"{r}\"" for r in MATRIX) + " FROM cnt GROUP BY 1")
 def _(spark, sf):
-    return RP.tag_matrix(RP.tag_counts(tagged_parts(spark, sf)), ["R00", "R01"])
+    return RP.tag_matrix(RP.tag_counts(tagged_parts(spark, sf)), MATRIX)
 
 
 # --- way rules -----------------------------------------------------------------
