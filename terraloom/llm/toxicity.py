@@ -81,8 +81,8 @@ def _bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(at), np.concatenate([*ids, np.zeros(0, np.int32)]), np.concatenate([*shares, np.zeros(0, np.float32)])
 
 
-def train(texts: pa.Array, labels: np.ndarray, prior: float, steps: int = 300, batch: int = 64, rate: float = 0.02, seed: int = 7) -> Model:
-    """Subword vectors and softmax weights, fitted together by Adam.
+def train(texts: pa.Array, labels: np.ndarray, prior: float, steps: int = 500, batch: int = 64, rate: float = 0.02, decay: float = 0.05, seed: int = 7) -> Model:
+    """Subword vectors and softmax weights, fitted together by Adam with decay.
 
     ``prior`` is the share of label 1 among all labelled rows: the sample
     holds more of the rarer class and is weighed back.
@@ -128,6 +128,8 @@ def train(texts: pa.Array, labels: np.ndarray, prior: float, steps: int = 300, b
                 grad *= grad
                 v += np.float32(0.01) * (grad - v)
                 x -= fix * m / (np.sqrt(v) + np.float32(1e-8))
+                if x is not bias:
+                    x *= np.float32(1 - rate * decay)
     gain = vector @ (soft[:, 1] - soft[:, 0]) * scale
     return Model(gain.astype(np.float32), float(bias[1] - bias[0]))
 
