@@ -7,7 +7,7 @@ maxima, and its rows as a forward index. For one query the maxima sum to a
 bound; blocks are scored in falling order of bounds until the next bound is
 below the query's kth score, so no block that could matter is left out.
 
-First each query meets the one range with its best bound, which gives its
+First each query meets the few ranges with its best bounds, which give its
 kth score so far; then it meets only ranges whose bound still reaches that.
 
 Defined cases: vectors that are null, of another length than the most common
@@ -33,6 +33,8 @@ from .batches import ship
 BLOCK = 64
 RANGE_BLOCKS = 256
 CHUNK = 512
+# Ranges that give a query its first kth score.
+FIRST_RANGES = 4
 SAMPLE = 4096
 CENTROIDS = 64
 # Products and sums of doubles are exact below this.
@@ -216,14 +218,18 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_i
         x["q"].cast("double") * x["high"], x["q"].cast("double") * x["low"]))
     bound = F.aggregate(term, F.lit(0.0), lambda a, x: a + x + F.abs(x) * 1e-12)
     summary = ranges.select("range_id", "high", "low")
-    met = cut(queries.crossJoin(sized(summary, summary.count())).select("vec_id", "q", "range_id", bound.alias("bound")))
-    best = met.groupBy("vec_id").agg(F.max_by("range_id", F.struct("bound", "range_id")).alias("range_id"))
-    first = best.join(queries, "vec_id").withColumn("floor", F.lit(float("-inf")))
+    best_first = W.partitionBy("vec_id").orderBy(F.desc("bound"), "range_id")
+    met = queries.crossJoin(sized(summary, summary.count())).select("vec_id", "range_id", bound.alias("bound"))
+    met = cut(met.withColumn("nth", F.row_number().over(best_first)))
+    none = F.lit(float("-inf"))
+    first = met.where(F.col("nth") <= FIRST_RANGES).join(queries, "vec_id").withColumn("floor", none)
     hits = cut(_meet(_chunks(first).join(ranges, "range_id"), k))
-    kth = hits.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).otherwise(float("-inf")).alias("floor"))
-    rest = met.join(best.withColumnRenamed("range_id", "seen"), "vec_id").where("range_id <> seen").join(
-        kth.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    more = _meet(_chunks(rest.where("bound >= floor")).join(ranges, "range_id"), k)
+    # Few hits for each query: at most k of each of its first ranges.
+    ranked = hits.withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    kth = ranked.where(F.col("nth") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
+    rest = met.where(F.col("nth") > FIRST_RANGES).join(kth, "vec_id", "left").withColumn("floor", F.coalesce("floor", none))
+    rest = rest.where("bound >= floor").join(queries, "vec_id")
+    more = _meet(_chunks(rest).join(ranges, "range_id"), k)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.unionByName(more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
