@@ -185,8 +185,8 @@ def links(fps: DataFrame, distance: int = 2, column: str = "fp", bucket: int = B
         rows += [F.struct(F.lit(k).alias("p"), fp.bitwiseXOR(F.lit(x)).bitwiseAND(mask).alias("v"), F.lit(False).alias("home"))
                  for x in _flips(bits, t, 1)]
     members = cut(fps.select(fp.alias("fp"), F.explode(F.array(*rows)).alias("x")).select("fp", "x.*"))
-    full = members.groupBy("p", "v").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("any_home")).where("n > 1 and any_home")
-    crowded, seen = cut_with(full.where(F.col("n") > bucket).select("p", "v"))
+    full = members.groupBy("p", "v").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("any_home"), F.bit_or("fp").bitwiseXOR(F.bit_and("fp")).alias("mask")).where("n > 1 and any_home")
+    crowded, seen = cut_with(full.where(F.col("n") > bucket).select("p", "v", "mask"))
     few = members.join(full.where(F.col("n") <= bucket).select("p", "v"), ["p", "v"], "left_semi")
     few = few.groupBy("p", "v").agg(F.collect_list(F.struct("fp", "home")).alias("m"))
 
@@ -198,8 +198,11 @@ def links(fps: DataFrame, distance: int = 2, column: str = "fp", bucket: int = B
     found = few.select(F.explode(pairs).alias("e")).select("e.src", "e.dst")
     if not seen["rows"]:
         return found.distinct()
-    hot = members.join(crowded, ["p", "v"], "left_semi").select("fp").distinct()
-    around = hot.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(x)) for x in _flips(list(range(64)), distance // 2)])).alias("at"))
+    # Only bits in which some member of a bucket differs can tell two apart.
+    hot = members.join(crowded, ["p", "v"]).groupBy("fp").agg(F.bit_or("mask").alias("mask"))
+    steps = F.array(*[F.lit(x) for x in _flips(list(range(64)), distance // 2)])
+    own = F.filter(steps, lambda x: x.bitwiseAND(F.col("mask")) == x)
+    around = hot.select("fp", F.explode(own).alias("step")).select("fp", F.col("fp").bitwiseXOR(F.col("step")).alias("at"))
     low = around.groupBy("at").agg(F.min("fp").alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1").select("at", "src")
     stars = around.join(low, "at").where("src < fp").select("src", F.col("fp").alias("dst"))
     return found.unionByName(stars).distinct()
