@@ -213,6 +213,26 @@ def test_chains_equal_quadratic_search():
         # Only chains over gaps of more than MAX_GAP words may score less.
         assert got <= max(best) + 1e-9 and (got >= max(best) - 1e-9 or max(best) > seg[:, 2].max())
 
+def test_chains_find_the_near_run_behind_a_long_one():
+    """A long run too far away doesn't hide a short one within the gap."""
+    seg = np.array([[0, 0, 500, 1], [545, 545, 30, 1], [585, 585, 30, 1]])
+    assert [1, 2] in passages.chains(seg)
+    g = np.random.default_rng(6)
+    for _ in range(60):
+        n = int(g.integers(2, 14))
+        seg = np.stack([np.sort(g.choice(300, n, replace=False)), g.choice(300, n, replace=False), g.integers(1, 60, n), np.ones(n, int)], axis=1)
+        best = []
+        for i in range(n):
+            top = 0.0
+            for j in range(i):
+                a, b = seg[i, :2] - seg[j, :2] - seg[j, 2]
+                if 0 <= a <= passages.MAX_GAP and 0 <= b <= passages.MAX_GAP:
+                    top = max(top, best[j] - passages.GAP_COST * (a + b))
+            best.append(seg[i, 2] + top)
+        first = passages.chains(seg)[0]
+        gaps = [seg[b, :2] - seg[a, :2] - seg[a, 2] for a, b in zip(first, first[1:], strict=False)]
+        assert sum(seg[c, 2] for c in first) - passages.GAP_COST * sum(int(x.sum()) for x in gaps) == pytest.approx(max(best))
+
 
 # --- mixing -----------------------------------------------------------------------
 
