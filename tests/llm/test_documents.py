@@ -193,6 +193,29 @@ def test_fuzzy_passage_and_clean_text(spark):
     assert 50 <= r.start <= 55 and 163 <= r.end <= 172 and r.n_equal >= 105
     assert passages.passages(d.limit(0)).count() == 0
 
+def test_fuzzy_passages_down_to_four_in_five(spark):
+    """50 words and more with 80 to 95 of 100 equal, spread evenly or at random."""
+    g = np.random.default_rng(8)
+    word = lambda: "".join(g.choice(list("abcdefghijkl"), 6))
+    rows, spans = [], {}
+    for size in (50, 80, 200):
+        for step in (5, 8, 10, 0, 0, 0):
+            part = [word() for _ in range(size)]
+            changed = range(step // 2, size, step) if step else g.choice(size - 4, size // int(g.integers(5, 20)), replace=False) + 2
+            fuzzy = list(part)
+            for i in changed:
+                fuzzy[i] = word()
+            k = 2 * len(spans)
+            rows += [(k, [word() for _ in range(70)] + part + [word() for _ in range(40)]), (k + 1, [word() for _ in range(30)] + fuzzy + [word() for _ in range(90)])]
+            spans[k + 1] = set(range(30, 30 + size))
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    covered = {}
+    for r in passages.passages(d).collect():
+        assert r.other_id == r.doc_id - 1
+        covered.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    assert covered.keys() == spans.keys()
+    assert all(len(spans[k] & covered[k]) >= 0.9 * len(spans[k]) for k in spans)
+
 
 def test_chains_equal_quadratic_search():
     g = np.random.default_rng(3)
