@@ -216,6 +216,27 @@ def test_fuzzy_passages_down_to_four_in_five(spark):
     assert covered.keys() == spans.keys()
     assert all(len(spans[k] & covered[k]) >= 0.9 * len(spans[k]) for k in spans)
 
+def test_passages_of_shared_lines(spark):
+    """A passage whose lines of under 50 words all occur alone in earlier documents."""
+    g = np.random.default_rng(9)
+    word = lambda: "".join(g.choice(list("abcdefghijkl"), 6))
+    pad = lambda n: [word() for _ in range(n)]
+    lines = [pad(30) for _ in range(3)]
+    whole = sum(lines, [])
+    fuzzy = [w if i % 9 != 4 else word() for i, w in enumerate(whole)]
+    rows = [(k + 1, pad(60) + line + pad(60)) for k, line in enumerate(lines)]
+    rows += [(11, pad(20) + whole + pad(70)), (12, pad(50) + whole + pad(20)), (13, pad(10) + fuzzy + pad(20))]
+    # Later on the lines occur alone again, between two holders of the passage.
+    rows += [(20 + k, pad(60) + line + pad(60)) for k, line in enumerate(lines)] + [(31, pad(15) + whole + pad(15))]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    covered = {}
+    for r in passages.passages(d).collect():
+        assert r.other_id in (11, 12, 13)
+        covered.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    assert covered.keys() == {12, 13, 31}
+    for k, lo in ((12, 50), (13, 10), (31, 15)):
+        assert len(covered[k] & set(range(lo, lo + 90))) >= 85
+
 
 def test_chains_equal_quadratic_search():
     g = np.random.default_rng(3)
