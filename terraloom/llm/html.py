@@ -5,7 +5,10 @@ length and punctuation are added up per path and divided by the path's nodes;
 both ratios are smoothed over the page in order, multiplied, and paths whose
 fused ratio reaches a share of its spread hold content. The smallest container
 with nearly all of that content is the article; its blocks are the text,
-except what markup names as something else (menus, adverts, comments ...).
+except what markup names as something else (menus, adverts, comments ...). A
+name is a hint only: it has to stand for the whole class, id or role, and what
+holds an article or nearly all of the text stays whatever its name, as do
+headings and paragraphs.
 
 Defined cases: null and empty pages give an empty text; pages cut short keep
 what there is; unknown and unclosed tags are allowed; a page without any
@@ -17,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +45,15 @@ DROP_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising",
               "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "menu", "nav", "navbar", "navigation",
               "breadcrumb", "breadcrumbs", "sidebar", "widget", "related", "recommended", "share", "sharing", "social", "comment", "comments", "respond", "reply",
               "replies", "disqus", "footer", "masthead", "toolbar", "pagination", "pager", "contentinfo", "complementary", "search", "login", "signup", "skip", "hidden"}
+#: Words that may stand beside those in one name, as in site-footer or ad-box-2.
+BESIDE = {"list", "box", "block", "wrapper", "wrap", "container", "area", "section", "item", "items", "post", "posts", "article", "articles", "link", "links",
+          "bar", "site", "page", "left", "right", "top", "bottom", "main", "primary", "secondary", "form", "slot", "unit", "button", "buttons", "icons", "group", "panel",
+          "header", "inner", "outer", "global", "content", "stories", "thread", "media"}
+#: Elements whose names mean nothing, and those whose ids are places to jump to.
+TEXT_TAGS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre"}
+_ANCHORED = INLINE | {"section", "figure", "table", "li", "dt", "dd", "header"}
+#: Share of all text from which a name is not believed, without an article outside and within one.
+MOST, NEARLY_ALL = 0.5, 0.9
 #: A start tag on the left closes an open element on the right.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
           "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -50,10 +63,10 @@ SPREAD_SHARE = 0.3
 
 
 class _Node:
-    __slots__ = ("drop", "parent", "path", "tag")
+    __slots__ = ("drop", "hint", "parent", "path", "tag")
 
-    def __init__(self, tag: str, parent: _Node | None, drop: bool):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: _Node | None, drop: bool, hint: bool = False):
+        self.tag, self.parent, self.drop, self.hint = tag, parent, drop, hint
         self.path = tag if parent is None else f"{parent.path}/{tag}"
 
 
@@ -68,33 +81,70 @@ def _dropped(tag: str, attrs: str, parent: _Node | None) -> bool:
         return x is None
     if not attrs or tag in ("article", "main", "body", "html"):
         return False
-    if re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", attrs):
-        return True
-    named = " ".join(v for m in _ATTR.finditer(attrs) if m[1].lower() in ("class", "id", "role") for v in m.groups()[1:] if v)
-    return bool(named) and not DROP_NAMES.isdisjoint(_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower()))
+    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", attrs))
+
+
+def _named(tag: str, attrs: str) -> bool:
+    """Whether a class, id or role as a whole names something else than the article."""
+    if not attrs or tag in TEXT_TAGS or tag in ("article", "main", "body", "html"):
+        return False
+    for m in _ATTR.finditer(attrs):
+        key = m[1].lower()
+        if key not in ("class", "id", "role") or key == "id" and tag in _ANCHORED:
+            continue
+        for name in " ".join(v for v in m.groups()[1:] if v).split():
+            parts = set(_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+            if parts & DROP_NAMES and parts <= DROP_NAMES | BESIDE:
+                return True
+    return False
+
+
+def _within(node: _Node | None) -> Iterator[_Node]:
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def _unbelieved(parts: list[tuple[str, _Node]]) -> set[_Node]:
+    """Elements with a name that hold too much to be what it says."""
+    inside, articles = defaultdict(int), defaultdict(int)
+    total = in_articles = 0
+    for t, node in parts:
+        n = len("".join(t.split()))
+        chain, total = list(_within(node)), total + n
+        article = any(x.tag in ("article", "main") for x in chain)
+        in_articles += n * article
+        for x in chain:
+            inside[x] += n
+            articles[x] += n * article
+    out = set()
+    for x in [x for x in inside if x.hint]:
+        holder = next((y for y in _within(x.parent) if y.tag in ("article", "main")), None)
+        if holder is not None:
+            believed = inside[x] < NEARLY_ALL * inside[holder]
+        elif articles[x]:
+            # Teasers in a sidebar are articles too, but not most of them.
+            believed = 2 * articles[x] < in_articles
+        else:
+            believed = in_articles > 0 or inside[x] < MOST * total
+        if not believed:
+            out.add(x)
+    return out
 
 
 def blocks(page: str) -> list[tuple[str, _Node]]:
     """Blocks of text with the element that holds each, in page order."""
-    node, out, text, at, holder = _Node("html", None, False), [], [], 0, None
+    node, raw, text, at = _Node("html", None, False), [], [], 0
 
     def close_block() -> None:
-        nonlocal text, holder
+        nonlocal text
         if text:
-            joined = " ".join(entities.unescape("".join(text)).split())
-            if joined:
-                out.append((joined, holder))
-        text, holder = [], None
+            raw.append(text)
+        text = []
 
     def add(part: str) -> None:
-        nonlocal holder
         if part and not node.drop:
-            if holder is None:
-                x = node
-                while x.tag in INLINE and x.parent is not None:
-                    x = x.parent
-                holder = x
-            text.append(part)
+            text.append((part, node))
 
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -133,8 +183,20 @@ def blocks(page: str) -> list[tuple[str, _Node]]:
             x = None if x.tag in _SCOPE else x.parent
         if ends and x is not None and x.parent is not None:
             node = x.parent
-        node = _Node(tag, node, _dropped(tag, attrs, node))
+        node = _Node(tag, node, _dropped(tag, attrs, node), _named(tag, attrs))
     close_block()
+    kept = _unbelieved([x for block in raw for x in block])
+    out, gone = [], {}
+    for block in raw:
+        stays = []
+        for part, x in block:
+            if x not in gone:
+                gone[x] = any(y.hint and y not in kept for y in _within(x))
+            if not gone[x]:
+                stays.append((part, x))
+        joined = " ".join(entities.unescape("".join(part for part, _ in stays)).split())
+        if joined:
+            out.append((joined, next(y for y in _within(stays[0][1]) if y.tag not in INLINE or y.parent is None)))
     return out
 
 

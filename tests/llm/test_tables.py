@@ -95,6 +95,20 @@ def test_pages_table(spark, sf):
     assert html.extract(extra.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("wrap", ['<div class="content has-sidebar">', '<div id="page" class="no-sidebar">', '<div class="widget">', '<div id="comments" class="sidebar">'])
+@pytest.mark.parametrize("holder", ["article", "div"])
+def test_names_of_wrappers_do_not_drop_the_page(wrap, holder):
+    said = ["First words of it, long enough to count.", "And more of it, with a second sentence. It ends here."]
+    page = f"<body><nav>menu</nav>{wrap}<{holder}>" + "".join(f"<p>{t}</p>" for t in said) + f"</{holder}></div><div class='site-footer'>Foot</div></body>"
+    assert html.main_text(page) == "\n\n".join(said)
+
+
+def test_names_inside_the_article():
+    page = ("<article><h1>Title</h1><p>One sentence, and a bit more of it.</p><section id='related-work'><h2 id='search'>Search</h2><p id='notice-period'>The notice, as agreed, is a month.</p></section>"
+            "<p class='search'>Kept, as a paragraph.</p><div class='related-posts'>Other posts</div><div class='ad'>Buy, now!</div><div class='comments'><p>Nice, thanks.</p></div></article>")
+    assert html.main_text(page).split("\n\n") == ["Title", "One sentence, and a bit more of it.", "Search", "The notice, as agreed, is a month.", "Kept, as a paragraph."]
+
+
 # --- archives ---------------------------------------------------------------------
 
 
