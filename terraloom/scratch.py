@@ -40,11 +40,14 @@ def _folder(spark: SparkSession) -> str:
     return os.path.join(scratch_root(spark), "tables", spark.sparkContext.applicationId)
 
 
+def _remove(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete this application's intermediate tables once results are stored."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, _folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -65,6 +68,25 @@ def cut_with(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
     return spark.read.schema(df.schema).parquet(path), dict(seen.get)
 
 
+class Successive:
+    """Tables of a loop: each is written from the one before, which then goes.
+
+    The one before stays until the new one is complete, so a lost executor
+    costs a stage and the loop holds two tables at most.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._last = spark, None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = os.path.join(_folder(self.spark), uuid.uuid4().hex)
+        df.write.parquet(path)
+        if self._last:
+            _remove(self.spark, self._last)
+        self._last = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only when the counted ``rows`` stay under ``limit``.
 
