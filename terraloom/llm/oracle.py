@@ -70,3 +70,62 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(range(
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
+
+
+def op11(parts: int, entries: int, rounds: int, scale: int) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(
+            f"d{r} AS MATERIALIZED (SELECT x.vec_id, x.k, x.q, min(struct_pack(d := list_sum(list_transform(range(1, len(x.q) + 1), lambda i: (x.q[i] - c.c[i]) * (x.q[i] - c.c[i])))::BIGINT, j := c.j)) AS b "
+            f"FROM x JOIN c{r} c USING (k) GROUP BY 1, 2, 3)")
+        if r < rounds:
+            steps.append(
+                f"s{r} AS (SELECT k, j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (SELECT k, b.j AS j, i, sum(q[i])::BIGINT AS s, count(*) AS n FROM d{r}, unnest(range(1, len(q) + 1)) t(i) GROUP BY 1, 2, 3) GROUP BY 1, 2), "
+                f"c{r + 1} AS MATERIALIZED (SELECT c.k, c.j, coalesce(s.c, c.c) AS c FROM c{r} c LEFT JOIN s{r} s ON s.k = c.k AND s.j = c.j)")
+    return f"""
+WITH e AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT vec_id, k, v[k * (len(v) // {parts}) + 1:(k + 1) * (len(v) // {parts})] AS q FROM e, range({parts}) t(k)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS j FROM e ORDER BY vec_id LIMIT {entries}),
+c0 AS MATERIALIZED (SELECT k, j, q AS c FROM x JOIN f USING (vec_id)),
+{", ".join(steps)},
+o AS (SELECT vec_id, string_agg(printf('%02x', b.j), '' ORDER BY k) AS code, CAST(sum(b.d) AS BIGINT) AS error FROM d{rounds} GROUP BY 1)
+SELECT e.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY k, j)) FROM c{rounds}) AS codebooks_sha256 FROM e JOIN o USING (vec_id)
+"""
+
+
+# Edits as text with their cost: rows are read one after another, and for each
+# state the least (cost, audit) is kept. Inserts come before the row's own edit.
+_NEXT = "(CASE s WHEN 2 THEN 3 ELSE 2 END)"
+OP13 = f"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+    lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+g AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(key[i]) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS fault FROM g, tab),
+w AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM h, LATERAL (SELECT unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))) WHERE fault <> 0),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
+    substr(role, 1, 1) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM w),
+r AS MATERIALIZED (SELECT *, bare = '' AS blank, bare <> '' AND again AS dup, bare <> '' AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS open, lag(i) OVER (PARTITION BY conv_id ORDER BY k) || i AS pair FROM n),
+f AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate, count(*) FILTER (WHERE open) AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n FROM r GROUP BY 1),
+dp AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, 0 AS s, 0 AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS said FROM r UNION ALL (
+  SELECT conv_id, k, s2, min(struct_pack(c := c, a := a)).c, min(struct_pack(c := c, a := a)).a, arg_min(d, struct_pack(c := c, a := a)) FROM (
+    SELECT m.conv_id, r.k, e.s2, m.cost + e.c AS c, m.audit || e.a AS a, CASE WHEN e.said IS NULL THEN m.said ELSE list_append(m.said, e.said) END AS d
+    FROM (SELECT conv_id, k, s, cost, audit, said FROM dp UNION ALL SELECT conv_id, k, {_NEXT}, cost + 2, audit || 'I', list_append(said, CASE s WHEN 2 THEN 'assistant:' ELSE 'user:' END) FROM dp
+      UNION ALL SELECT conv_id, k, CASE s WHEN 2 THEN 2 ELSE 5 - {_NEXT} END, cost + 4, audit || 'II', list_concat(said, CASE s WHEN 2 THEN ['assistant:', 'user:'] ELSE ['user:', 'assistant:'] END) FROM dp) m
+    JOIN r ON r.conv_id = m.conv_id AND r.k = m.k + 1,
+    LATERAL (SELECT m.s AS s2, 3 AS c, 'D' AS a, NULL AS said
+      UNION ALL SELECT CASE m.s WHEN 2 THEN 3 ELSE 2 END, 2 + r.open::INT, 'R', CASE m.s WHEN 2 THEN 'assistant:' ELSE 'user:' END || r.text WHERE NOT r.blank AND NOT r.dup
+      UNION ALL SELECT CASE r.i WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, r.open::INT, 'K', r.role || ':' || r.text
+        WHERE NOT r.blank AND NOT r.dup AND ((r.i = 's' AND m.s = 0) OR (r.i = 'u' AND m.s <> 2) OR (r.i = 'a' AND m.s = 2))) e) GROUP BY 1, 2, 3)),
+z AS (SELECT conv_id, min(struct_pack(c := c, a := a)).c AS cost, min(struct_pack(c := c, a := a)).a AS audit, arg_min(d, struct_pack(c := c, a := a)) AS said FROM (
+    SELECT conv_id, cost + CASE s WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END AS c, audit || CASE s WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS a,
+      list_concat(said, CASE s WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE CAST([] AS VARCHAR[]) END) AS d FROM dp JOIN f USING (conv_id) WHERE k = n) GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f USING (conv_id) LEFT JOIN z USING (conv_id)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, mixing, oracle, passages, pii, search, simhash, toxicity, warc
+from . import chat, codes, decontaminate, html, mixing, oracle, passages, pii, repair, search, secret_scan, simhash, toxicity, warc
 
 #: Fixed for repeatable test results; a real key is a secret of its user.
 PSEUDONYM_KEY = b"terraloom-test-key"
@@ -71,6 +71,21 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("_row.doc_id", "_new.*")
 
 
+def op11_vector_code_compression(spark: SparkSession, sf: str) -> DataFrame:
+    made = codes.fit(_table(spark, sf, "embeddings"))
+    return codes.with_label_error(made.rows).select(
+        "vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error",
+        F.lit(codes.codebooks_digest(made.history[-1] if made.history else None)).alias("codebooks_sha256"))
+
+
+def op12_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(_table(spark, sf, "documents"), keep=["doc_id"]))
+
+
+def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return repair.digests(repair.damage(_table(spark, sf, "conversations")), copies="copies")
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline  # it builds on this module
 
@@ -79,10 +94,13 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_benchmark_decontamination, op2_simhash_near_dedup, op3_chat_formatting, op4_toxicity,
-    op5_substring_dedup, op6_html_extraction, op7_warc, op8_exact_top_k, op9_mixing, op10_pii, pipeline)}
+    op5_substring_dedup, op6_html_extraction, op7_warc, op8_exact_top_k, op9_mixing, op10_pii,
+    op11_vector_code_compression, op12_secret_scans, op13_conversation_repair, pipeline)}
 ORACLES = {
     "op1_benchmark_decontamination": oracle.OP1,
     "op3_chat_formatting": oracle.op3(chat.CONTROL, len(chat.TURN + chat.SAYS + chat.END), chat.BUDGET, chat.HISTORY),
     "op7_warc": oracle.OP7,
     "op8_exact_top_k": oracle.OP8,
+    "op11_vector_code_compression": oracle.op11(8, 16, 6, 4096),
+    "op13_conversation_repair": oracle.OP13,
 }
