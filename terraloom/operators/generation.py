@@ -13,7 +13,8 @@ from ..functions.hashing import unit_hash
 from ..scratch import cut, cut_with
 from .annulus import PointOrder, pick_in_band
 from .fleet import without_jobs
-from .routing import shortest_paths, snap
+from .roadblocks import build_road_blocks, goal_paths
+from .routing import snap
 from .sampling import MAX_TIER, TIER_RANGES_KM, category_for, tier_of
 
 MAX_RETRIES = 5
@@ -26,11 +27,18 @@ class Generated:
     rejects: DataFrame
 
 
-def graph_router(arcs: DataFrame, nodes: DataFrame, snap_m: float = 1000.0, max_m: float | None = None):
-    """Router giving the driven metres of (id, from, to) rows over a graph."""
+def graph_router(arcs: DataFrame, nodes: DataFrame, snap_m: float = 1000.0):
+    """Router giving the driven metres of (id, from, to) rows over a graph.
+
+    The graph is cut into blocks once, for all rounds of generation.
+    """
+    roads: list = []
+
     def route(trips: DataFrame) -> DataFrame:
+        if not roads:
+            roads.append(build_road_blocks(arcs, nodes))
         legs = cut(snap(trips, nodes, snap_m, key="id"))
-        found = shortest_paths(arcs, legs, max_m=max_m, key="id", with_steps=False).routes.where("success")
+        found = goal_paths(roads[0], legs, key="id").routes.where("success")
         walks = legs.select("id", F.floor(F.col("start_walk_m") + F.col("end_walk_m")).alias("_w"))
         return found.join(walks, "id").select("id", (F.col("distance_m") + F.col("_w")).cast("double").alias("route_m"))
     return route

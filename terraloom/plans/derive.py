@@ -152,6 +152,11 @@ def road_ways(spark, sf) -> DataFrame:
     return ways(spark, sf).where(routable("tags"))
 
 
+def profile_ways(spark, sf) -> DataFrame:
+    """Ways of the all-inclusive profile, on which the router drives."""
+    return ways(spark, sf).where(routable("tags", "all"))
+
+
 def customers(spark, sf) -> Column:
     return table(spark, sf, "customer").agg(F.count(F.lit(1))).scalar()
 

@@ -104,6 +104,7 @@ PARTS = {
         "lead(node_id) OVER (PARTITION BY way_id ORDER BY pos) AS dst FROM refs) WHERE dst IS NOT NULL)"
     ),
     "road_pair": "road_pair AS (SELECT pair.*, w.highway, w.maxspeed, w.oneway FROM pair JOIN route_way w ON w.id = pair.way_id)",
+    "car_pair": "car_pair AS (SELECT pair.*, w.highway, w.maxspeed, w.oneway FROM pair JOIN way w ON w.id = pair.way_id WHERE w.highway IS NOT NULL)",
     "edge": (
         "edge AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max(way_id) AS way_id, arg_max(highway, way_id) AS highway "
         "FROM road_pair GROUP BY 1, 2)"

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import tags as T
 from ..operators import elements as EL
+from ..operators import jobroutes as JR
 from ..operators import network as NW
 from ..operators import regions as RG
 from ..operators import reports as RP
+from ..operators import roadblocks as RB
 from ..operators import routing as RT
 from ..operators import ways as WY
 from ..operators.ranking import top_n_rest
@@ -187,7 +189,7 @@ def _(spark, sf):
 
 @query("profile_speed", with_("way", f"SELECT id, CAST({profile_kmh()} AS INTEGER) AS speed_kmh FROM way WHERE highway IS NOT NULL"))
 def _(spark, sf):
-    return WY.with_profile_speed(D.road_ways(spark, sf)).select("id", "speed_kmh")
+    return WY.with_profile_speed(D.profile_ways(spark, sf)).select("id", "speed_kmh")
 
 
 DIRECTION = "(CASE WHEN oneway = 'yes' THEN 'forward' WHEN oneway = '-1' THEN 'backward' WHEN highway IN ('motorway', 'motorway_link') THEN 'forward' ELSE 'both' END)"
@@ -195,7 +197,7 @@ DIRECTION = "(CASE WHEN oneway = 'yes' THEN 'forward' WHEN oneway = '-1' THEN 'b
 
 @query("way_direction", with_("way", f"SELECT id, {DIRECTION} AS direction FROM way WHERE highway IS NOT NULL"))
 def _(spark, sf):
-    return WY.with_direction(D.road_ways(spark, sf)).select("id", "direction")
+    return WY.with_direction(D.profile_ways(spark, sf)).select("id", "direction")
 
 
 # --- network reports -----------------------------------------------------------
@@ -230,10 +232,6 @@ def _(spark, sf):
     return NW.pruning_scenarios(D.ways(spark, sf)).withColumn("percent", F.round("percent", 6))
 
 
-def road_pairs(spark, sf):
-    return NW.way_pairs(D.road_ways(spark, sf), D.nodes(spark, sf))
-
-
 # Degrees count every reference of routable ways, located or not.
 DEG = "deg AS (SELECT n, count(*) AS degree FROM (SELECT src AS n FROM road_pair UNION ALL SELECT dst FROM road_pair) GROUP BY 1) "
 
@@ -261,17 +259,17 @@ def _(spark, sf):
 ARC = (
     f"arc AS (SELECT way_id, seq, s AS src, d AS dst, CAST(floor({hav(lat_of('src'), lon_of('src'), lat_of('dst'), lon_of('dst'))}) AS BIGINT) AS distance_m, speed_kmh, "
     "way_id || ':' || seq || ':' || back AS arc_id FROM "
-    f"(SELECT *, {DIRECTION} AS dir, CAST({profile_kmh()} AS INTEGER) AS speed_kmh FROM road_pair WHERE src <> dst) p, LATERAL (SELECT 0 AS back, p.src AS s, p.dst AS d UNION ALL SELECT 1, p.dst, p.src) "
+    f"(SELECT *, {DIRECTION} AS dir, CAST({profile_kmh()} AS INTEGER) AS speed_kmh FROM car_pair WHERE src <> dst) p, LATERAL (SELECT 0 AS back, p.src AS s, p.dst AS d UNION ALL SELECT 1, p.dst, p.src) "
     "WHERE dir = 'both' OR (dir = 'forward' AND back = 0) OR (dir = 'backward' AND back = 1)) "
 )
 
 
 def arc_sql(body: str) -> str:
-    return with_("refs way route_way pair road_pair", "SELECT").removesuffix(" SELECT") + ", " + ARC + body
+    return with_("refs way pair car_pair", "SELECT").removesuffix(" SELECT") + ", " + ARC + body
 
 
 def arcs(spark, sf):
-    return NW.build_arcs(D.road_ways(spark, sf), D.nodes(spark, sf))
+    return NW.build_arcs(D.profile_ways(spark, sf), D.nodes(spark, sf))
 
 
 @query("build_arcs", arc_sql("SELECT arc_id, src, dst, way_id, distance_m, speed_kmh FROM arc"))
@@ -296,7 +294,7 @@ COMP = (
 
 
 def comp_sql(body: str) -> str:
-    return with_("refs way route_way pair road_pair edge node", "SELECT").removesuffix(" SELECT").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + COMP + body
+    return with_("refs way route_way pair road_pair car_pair edge node", "SELECT").removesuffix(" SELECT").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + COMP + body
 
 
 def edges(spark, sf):
@@ -406,11 +404,11 @@ def trips(spark, sf):
 
 TRIPS = (f"trip AS (SELECT s_suppkey AS request_id, {lat_of('s_suppkey + 5000011')} AS from_lat, {lon_of('s_suppkey + 5000011')} AS from_lon, "
          f"{lat_of('s_suppkey * 17 + 3')} AS to_lat, {lon_of('s_suppkey * 17 + 3')} AS to_lon FROM supplier), "
-         "rnode AS (SELECT id, lat, lon FROM node WHERE id IN (SELECT src FROM road_pair UNION ALL SELECT dst FROM road_pair)) ")
+         "rnode AS (SELECT id, lat, lon FROM node WHERE id IN (SELECT src FROM car_pair UNION ALL SELECT dst FROM car_pair)) ")
 
 
 def road_nodes(spark, sf):
-    used = road_pairs(spark, sf).select(F.explode(F.array("src", "dst")).alias("id"))
+    used = NW.way_pairs(D.profile_ways(spark, sf), D.nodes(spark, sf)).select(F.explode(F.array("src", "dst")).alias("id"))
     return D.nodes(spark, sf).join(used, "id", "left_semi")
 
 
@@ -420,7 +418,7 @@ def _snap_leg(end: str) -> str:
             f"WHERE abs(t.{end}_lat - n.lat) < 0.2e0 AND abs(t.{end}_lon - n.lon) < 0.4e0) WHERE rn = 1 AND d <= 4000)")
 
 
-@query("snap_trips", with_("refs way route_way node pair road_pair", "SELECT").removesuffix(" SELECT") + ", " + TRIPS +
+@query("snap_trips", with_("refs way node pair car_pair", "SELECT").removesuffix(" SELECT") + ", " + TRIPS +
        f"SELECT request_id, a.node_id AS source, round(a.d, 3) AS start_walk_m, b.node_id AS target, round(b.d, 3) AS end_walk_m FROM trip LEFT JOIN {_snap_leg('from')} a USING (request_id) LEFT JOIN {_snap_leg('to')} b USING (request_id)")
 def _(spark, sf):
     s = RT.snap(trips(spark, sf), road_nodes(spark, sf), 4000.0)
@@ -466,7 +464,7 @@ ROUTE_SQL = (
 )
 
 
-@query("route_points", with_("refs way route_way pair road_pair", "SELECT").removesuffix(" SELECT").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + ARC + ", " + ROUTE_SQL)
+@query("route_points", with_("refs way pair car_pair", "SELECT").removesuffix(" SELECT").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + ARC + ", " + ROUTE_SQL)
 def _(spark, sf):
     from ..scratch import cut
     g, n = cut(arcs(spark, sf)), cut(road_nodes(spark, sf))
@@ -477,7 +475,7 @@ def _(spark, sf):
 
 def trips_near_roads(spark, sf, nodes):
     """A trip along every multi-node road way, starting and ending just off it."""
-    w = D.road_ways(spark, sf).where(F.size("refs") >= 2)
+    w = D.profile_ways(spark, sf).where(F.size("refs") >= 2)
     ends = w.select(F.col("id").alias("request_id"), F.col("refs")[0].alias("a"), F.element_at("refs", -1).alias("b"))
     out = D.located(D.located(ends, "a", "from_lat", "from_lon"), "b", "to_lat", "to_lon")
     return out.select("request_id", (F.col("from_lat") + 1e-5).alias("from_lat"), "from_lon", "to_lat", (F.col("to_lon") + 1e-5).alias("to_lon"))
@@ -493,7 +491,7 @@ WAY_TRIPS = (
 )
 
 
-@query("travel_time", with_("refs way route_way pair road_pair", "SELECT").removesuffix(" SELECT").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + ARC + ", " + WAY_TRIPS +
+@query("travel_time", with_("refs way pair car_pair", "SELECT").removesuffix(" SELECT").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + ARC + ", " + WAY_TRIPS +
        "SELECT request_id, CAST(ms + floor(wa * 1000e0 / 1.67e0) + floor(wb * 1000e0 / 1.67e0) AS BIGINT) AS travel_ms, CAST(d + floor(wa + wb) AS BIGINT) AS distance_m, CAST(hops AS INTEGER) AS hops "
        "FROM leg JOIN sp ON sp.source = a AND sp.node_id = b")
 def _(spark, sf):
@@ -503,16 +501,51 @@ def _(spark, sf):
     return RT.travel_time(legs, RT.shortest_paths(g, legs).steps, g)
 
 
-@query("job_routes")
-def _(spark, sf):
-    from ..scratch import cut
-    g, n = cut(arcs(spark, sf)), cut(road_nodes(spark, sf))
-    w = D.road_ways(spark, sf).where(F.size("refs") >= 3)
+def job_requests(spark, sf):
+    """First node, second node, last node of every road way with three or more."""
+    w = D.profile_ways(spark, sf).where(F.size("refs") >= 3)
     r = w.select(F.col("id").alias("request_id"), F.col("refs")[0].alias("a"), F.col("refs")[1].alias("b"), F.element_at("refs", -1).alias("c"),
                  F.lit(50).alias("max_speed_kmh"), F.lit(0.5).alias("multiplier"))
     for c, p in (("a", "from"), ("b", "via"), ("c", "to")):
         r = D.located(r, c, f"{p}_lat", f"{p}_lon")
-    return RT.job_routes(r, g, n, snap_m=4000.0).points
+    return r
+
+
+# Of equal lengths the path with fewest arcs, then the quickest under 50 km/h.
+JOB_LEGS = (
+    "mt AS (SELECT way_id AS request_id, arg_min(node_id, pos) AS a, max(CASE WHEN pos = 1 THEN node_id END) AS b, arg_max(node_id, pos) AS c "
+    "FROM refs JOIN way w ON w.id = way_id WHERE w.highway IS NOT NULL GROUP BY 1 HAVING count(*) >= 3), "
+    "leg AS (SELECT request_id, a AS s, b AS t FROM mt UNION ALL SELECT request_id, b, c FROM mt), "
+    "one AS (SELECT src, dst, min(struct_pack(m := distance_m, h := 1, ms := CASE WHEN speed_kmh > 0 THEN distance_m * 3600000 // (least(speed_kmh, 50) * 1000) ELSE 0 END)) AS l FROM arc GROUP BY 1, 2), "
+    "sp(source, node_id, l) USING KEY (source, node_id) AS (SELECT DISTINCT s, s, struct_pack(m := CAST(0 AS BIGINT), h := 0, ms := CAST(0 AS BIGINT)) FROM leg UNION "
+    "SELECT p.source, o.dst, min(struct_pack(m := p.l.m + o.l.m, h := p.l.h + o.l.h, ms := p.l.ms + o.l.ms)) FROM sp p JOIN one o ON o.src = p.node_id "
+    "LEFT JOIN recurring.sp k ON k.source = p.source AND k.node_id = o.dst WHERE k.l IS NULL OR struct_pack(m := p.l.m + o.l.m, h := p.l.h + o.l.h, ms := p.l.ms + o.l.ms) < k.l GROUP BY 1, 2) "
+)
+
+
+@query("job_route_totals", with_("refs way pair car_pair", "SELECT").removesuffix(" SELECT").replace("WITH ", "WITH RECURSIVE ", 1) + ", " + ARC + ", " + JOB_LEGS +
+       "SELECT request_id, CAST(floor(sum(l.ms) * 0.5e0) AS BIGINT) AS travel_ms, CAST(sum(l.m) AS BIGINT) AS distance_m FROM leg JOIN sp ON source = s AND node_id = t GROUP BY 1 HAVING count(*) = 2")
+def _(spark, sf):
+    from ..scratch import cut
+    g, n = cut(arcs(spark, sf)), cut(road_nodes(spark, sf))
+    return JR.job_routes(job_requests(spark, sf), g, n, points=False, snap_m=4000.0).totals
+
+
+@query("goal_paths", comp_sql(", " + ARC + ", " + DIST + "SELECT a.source AS request_id, a.source, a.target, sp.d IS NOT NULL AS success, sp.d AS distance_m FROM ask a LEFT JOIN sp ON sp.source = a.source AND sp.node_id = a.target").replace(") , arc", "), arc").replace(") , ask", "), ask"))
+def _(spark, sf):
+    from ..scratch import cut
+    comps, g = cut(NW.connected_components(edges(spark, sf))), cut(arcs(spark, sf))
+    asked = cut(node_trips(spark, sf, comps))
+    ends = asked.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+    roads = RB.build_road_blocks(g, road_nodes(spark, sf), ends)
+    return RB.goal_paths(roads, asked).routes.select("request_id", "source", "target", "success", "distance_m")
+
+
+@query("job_routes")
+def _(spark, sf):
+    from ..scratch import cut
+    g, n = cut(arcs(spark, sf)), cut(road_nodes(spark, sf))
+    return JR.job_routes(job_requests(spark, sf), g, n, snap_m=4000.0).points
 
 
 @query("position_at_time", with_("poly", "SELECT").removesuffix(" SELECT") + ", q AS (SELECT o_orderkey AS route_id, floor(o_totalprice / 2500e0) AS at_s FROM orders), "

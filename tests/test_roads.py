@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraloom.operators import elements as EL
+from terraloom.operators import jobroutes as JR
 from terraloom.operators import network as NW
 from terraloom.operators import routing as RT
 from terraloom.sources.readers import NODE_SCHEMA, RELATION_SCHEMA, WAY_SCHEMA
@@ -175,7 +176,7 @@ def test_points_end_at_total_time(spark, small_graph):
     assert times[2].travel_ms > times[1].travel_ms
     quirk = {r.request_id: r.travel_ms for r in RT.travel_time(legs, p.steps, arcs, keep_quirk=True).collect()}
     assert quirk[3] == 0 and quirk[1] == times[1].travel_ms
-    jr = RT.job_routes(spark.createDataFrame([(1, 0.0001, 1.0, 0.0, 1.001, 0.0001, 1.003, 0.5)],
+    jr = JR.job_routes(spark.createDataFrame([(1, 0.0001, 1.0, 0.0, 1.001, 0.0001, 1.003, 0.5)],
                        "request_id long, from_lat double, from_lon double, via_lat double, via_lon double, to_lat double, to_lon double, multiplier double"), arcs, nodes)
     total, last = jr.totals.first(), jr.points.orderBy(F.desc("seq")).first()
     assert abs(total.travel_ms - last.cum_time_ms) <= 2 and jr.points.select("seq").distinct().count() == jr.points.count()
