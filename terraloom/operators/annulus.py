@@ -64,11 +64,17 @@ def square_annulus(df: DataFrame, lat0: float, lon0: float, min_km: float, max_k
     return df.where(box(max_km) & ~box(min_km))
 
 
+LEAF = 64
+STEP = 2
+# Border cells may hold this share of what lies inside before a pick is drawn.
+LOOSE = 0.25
+
+
 class PointOrder:
-    """Points numbered along a space-filling curve, with cell tables by level.
+    """Points numbered along a space-filling curve, and a counted tree over it.
 
-    Any aligned grid cell is a run of positions, so one ordering serves every
-    band and every round of draws.
+    Any aligned grid cell is a run of positions. The tree has the occupied
+    cells of every second level; a cell of at most ``LEAF`` points is a leaf.
     """
 
     def __init__(self, points: DataFrame, key: str = "id", lat: str = "lat", lon: str = "lon"):
@@ -79,32 +85,173 @@ class PointOrder:
         order = [F.col("z"), F.col("lat"), F.col("lon"), F.col("pid")]
         self.placed, seen = cut_with(dense_positions(spots, order, name="pos"))
         self.rows = seen["rows"]
-        self._blocks: dict[int, tuple[DataFrame, int]] = {}
+        self._tree: tuple[DataFrame, DataFrame] | None = None
 
     def members(self) -> DataFrame:
         return sized(self.placed.select("pos", "pid", F.col("lat").alias("plat"), F.col("lon").alias("plon")), self.rows)
 
-    def blocks(self, levels: list[int]) -> DataFrame:
-        """Occupied cells of the levels in blocks of 16 x 16, one row a block."""
-        new = [l for l in levels if l not in self._blocks]
-        if new:
-            made, seen = cut_with(_cell_sizes(self.placed, new).groupBy(
-                "lvl", F.shiftright("x", 4).alias("bx"), F.shiftright("y", 4).alias("by")
-            ).agg(F.collect_list(F.struct("x", "y", "code", "start", "n")).alias("cells")))
-            for l in new:
-                self._blocks[l] = (made.where(F.col("lvl") == l), seen["rows"])
-        out = None
-        for l in levels:
-            out = self._blocks[l][0] if out is None else out.unionByName(self._blocks[l][0])
-        return sized(out, sum(self._blocks[l][1] for l in levels) * 64)
-
-
-def _level_for(dlat: float) -> int:
-    """Finest world-grid level whose cells still reach a quarter of the box."""
-    level = 1
-    while level < geo.MORTON_BITS and 180.0 / 2 ** (level + 1) >= dlat / 4:
-        level += 1
-    return level
+    def tree(self) -> tuple[DataFrame, DataFrame]:
+        """(cells, spots): cells with their runs and, by leaf, the distinct
+        locations with theirs."""
+        if self._tree is None:
+            top, bits = STEP, geo.MORTON_BITS
+            cx, cy = geo.morton_xy("lat", "lon")
+            found = cut(self.placed.groupBy("z", "lat", "lon", cx.alias("x"), cy.alias("y")).agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("n")))
+            at = F.array(*[F.struct(
+                F.lit(l).alias("lvl"), F.shiftright("z", 2 * (bits - l)).alias("code"),
+                F.shiftright("x", bits - l).alias("x"), F.shiftright("y", bits - l).alias("y")) for l in range(top, bits + 1, STEP)])
+            every = cut(found.select(F.inline(at), "start", "n").groupBy("lvl", "code", "x", "y").agg(F.min("start").alias("start"), F.sum("n").alias("n")))
+            every = every.withColumn("parent", F.shiftright("code", 2 * STEP)).withColumn("leaf", (F.col("n") <= LEAF) | (F.col("lvl") == bits))
+            # Centre and reach of each cell, for distances to all of it.
+            w, h = F.lit(360.0) / F.pow(F.lit(2.0), F.col("lvl")), F.lit(180.0) / F.pow(F.lit(2.0), F.col("lvl"))
+            south, west = F.col("y") * h - 90.0, F.col("x") * w - 180.0
+            every = cut(every.withColumns({"clat": south + h / 2, "clon": west + w / 2, "far": F.greatest(
+                geo.haversine_m(south + h / 2, west, south, west - w / 2), geo.haversine_m(south + h / 2, west, south + h, west - w / 2)) * 1.01 + 1.0}))
+            crowded = every.where(~F.col("leaf")).select((F.col("lvl") + STEP).alias("lvl"), F.col("code").alias("parent"))
+            cells = cut(every.where(F.col("lvl") == top).unionByName(every.where(F.col("lvl") > top).join(crowded, ["lvl", "parent"], "left_semi")))
+            leaves = cells.where("leaf").select("lvl", "code")
+            spots = found.select(F.inline(at), F.col("lat").alias("plat"), F.col("lon").alias("plon"), "start", "n").drop("x", "y")
+            self._tree = cells, cut(spots.join(leaves, ["lvl", "code"]))
+        return self._tree
+
+
+def _asked(requests: DataFrame, shape: str) -> DataFrame:
+    """rid, qlat, qlon, lo, hi (km) with the half sides of both boxes."""
+    if shape == "square":
+        lat = {"ilat": F.col("lo") / geo.KM_PER_LAT_DEGREE, "olat": F.col("hi") / geo.KM_PER_LAT_DEGREE}
+        return requests.withColumns({**lat, "ilon": geo.east_degrees("qlat", F.col("lo")), "olon": geo.east_degrees("qlat", F.col("hi"))})
+    reach = F.least(F.col("hi") * 1000 / geo.EARTH_RADIUS_M, F.lit(math.pi))
+    polar = F.abs(F.radians("qlat")) + reach >= math.pi / 2
+    side = F.when(polar, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.sin(reach) / F.cos(F.radians("qlat")), F.lit(1.0)))))
+    return requests.withColumns({"ilat": F.lit(0.0), "ilon": F.lit(0.0), "olat": F.degrees(reach) * 1.000001, "olon": side * 1.000001})
+
+
+def _accepted(shape: str) -> Column:
+    if shape == "circle":
+        return geo.haversine_m("qlat", "qlon", "plat", "plon").between(F.col("lo") * 1000, F.col("hi") * 1000)
+    dy, dx = F.abs(F.col("plat") - F.col("qlat")), F.abs(F.col("plon") - F.col("qlon"))
+    return (dy <= F.col("olat")) & (dx <= F.col("olon")) & ~((dy <= F.col("ilat")) & (dx <= F.col("ilon")))
+
+
+def _side(shape: str) -> Column:
+    """``in`` for cells wholly inside the band, ``out`` for those outside, else ``edge``."""
+    n = F.pow(F.lit(2.0), F.col("lvl"))
+    w, h = F.lit(360.0) / n, F.lit(180.0) / n
+    west, south = F.col("x") * w - 180.0, F.col("y") * h - 90.0
+    if shape == "square":
+        hair = 1e-9
+
+        def span(low: Column, size: Column, at: str) -> tuple[Column, Column]:
+            q = F.col(at)
+            return F.greatest(F.lit(0.0), low - q, q - low - size), F.greatest(F.abs(low - q), F.abs(low + size - q))
+
+        (x0, x1), (y0, y1) = span(west, w, "qlon"), span(south, h, "qlat")
+        inside = (x1 <= F.col("olon") - hair) & (y1 <= F.col("olat") - hair) & ((x0 > F.col("ilon") + hair) | (y0 > F.col("ilat") + hair))
+        outside = (x0 > F.col("olon") + hair) | (y0 > F.col("olat") + hair) | ((x1 <= F.col("ilon") - hair) & (y1 <= F.col("ilat") - hair))
+    else:
+        d, far, lo, hi = geo.haversine_m("qlat", "qlon", "clat", "clon"), F.col("far"), F.col("lo") * 1000, F.col("hi") * 1000
+        inside, outside = (d.between(lo + far, hi - far)), ~d.between(lo - far, hi + far)
+    return F.when(inside, "in").when(outside, "out").otherwise("edge")
+
+
+def band_runs(order: PointOrder, asked: DataFrame, shape: str, loose: float = 0.0) -> DataFrame:
+    """rid, start, n, sure: the points of each request's band as runs of
+    positions, without a row per point.
+
+    The tree is walked down from the cells about the outer box. Cells inside
+    the band are runs as they are, only border cells are opened, and at the
+    leaves distinct locations are tested. With ``loose`` a request stops as
+    soon as its border cells hold at most that share of what lies inside;
+    those cells are then runs that are not sure.
+    """
+    cells, spots = order.tree()
+    carry = asked.columns
+    bits = geo.MORTON_BITS
+    deep = F.least(F.floor(F.log2(F.lit(360.0) / F.greatest("olon", F.lit(1e-12)))), F.floor(F.log2(F.lit(180.0) / F.greatest("olat", F.lit(1e-12)))))
+    level = F.greatest(F.lit(STEP), F.least(F.lit(bits), F.floor(deep / STEP) * STEP)).cast("int")
+    q = asked.withColumn("_from", level).withColumn("lvl", F.explode(F.sequence(F.lit(STEP), F.col("_from"), F.lit(STEP))))
+    n = F.pow(F.lit(2.0), F.col("lvl"))
+
+    def cell(v: Column, span: float) -> Column:
+        return F.floor((v + span / 2) / span * n).cast("long")
+
+    x0, x1 = cell(F.col("qlon") - F.col("olon"), 360.0), cell(F.col("qlon") + F.col("olon"), 360.0)
+    y0, y1 = (F.greatest(F.lit(0), F.least(cell(v, 180.0), n.cast("long") - 1)) for v in (F.col("qlat") - F.col("olat"), F.col("qlat") + F.col("olat")))
+    q = q.withColumn("x", F.explode(F.sequence(x0, F.least(x1, x0 + n.cast("long") - 1)))).withColumn("x", F.pmod("x", n.cast("long")))
+    q = q.withColumn("y", F.explode(F.sequence(y0, y1)))
+    # Leaves above the first level count, other cells there are covered by it.
+    first = q.join(cells, ["lvl", "x", "y"]).where("leaf or lvl = _from")
+    columns = [*carry, "lvl", "code", "start", "n", "leaf", "side"]
+    state = first.withColumn("side", _side(shape)).where("side <> 'out'").select(columns)
+    done, leaves = None, None
+
+    def more(acc: DataFrame | None, df: DataFrame) -> DataFrame:
+        return df if acc is None else acc.unionByName(df)
+
+    while True:
+        state, seen = cut_with(state, open=F.sum(F.when((F.col("side") == "edge") & ~F.col("leaf"), 1).otherwise(0)))
+        done = more(done, state.where("side = 'in'").select("rid", "start", "n", F.lit(True).alias("sure")))
+        edge = state.where("side = 'edge'")
+        if loose:
+            at_leaf = edge.where("leaf") if leaves is None else edge.where("leaf").unionByName(leaves)
+            held = done.where("sure").groupBy("rid").agg(F.sum("n").alias("inside"))
+            border = at_leaf.select("rid", "n").unionByName(edge.where("not leaf").select("rid", "n")).groupBy("rid").agg(F.sum("n").alias("border"))
+            enough, figures = cut_with(border.join(held, "rid").where(F.col("border") <= F.lit(loose) * F.col("inside")).select("rid"))
+            stop = sized(enough, figures["rows"])
+            done = done.unionByName(at_leaf.unionByName(edge.where("not leaf")).join(stop, "rid", "left_semi").select("rid", "start", "n", F.lit(False).alias("sure")))
+            leaves = at_leaf.join(stop, "rid", "left_anti")
+            edge = edge.join(stop, "rid", "left_anti")
+        else:
+            leaves = more(leaves, edge.where("leaf"))
+        if not seen["open"]:
+            break
+        opened = edge.where("not leaf").select(*carry, (F.col("lvl") + STEP).alias("lvl"), F.col("code").alias("parent"))
+        state = opened.join(cells, ["lvl", "parent"]).withColumn("side", _side(shape)).where("side <> 'out'").select(columns)
+    tested = leaves.select(*carry, "lvl", "code").join(spots, ["lvl", "code"]).where(_accepted(shape))
+    return _merged(done.unionByName(tested.select("rid", "start", "n", F.lit(True).alias("sure"))))
+
+
+def _merged(runs: DataFrame) -> DataFrame:
+    """Sure runs that follow on one another as one; a request's runs are
+    bounded by the shape of its band."""
+    along = W.partitionBy("rid").orderBy("start")
+    before = F.lag(F.struct((F.col("start") + F.col("n")).alias("end"), "sure")).over(along)
+    runs = runs.withColumn("_b", before)
+    follows = F.coalesce(F.col("sure") & F.col("_b.sure") & (F.col("_b.end") == F.col("start")), F.lit(False))
+    runs = runs.withColumn("_run", F.sum(F.when(follows, 0).otherwise(1)).over(along.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return runs.groupBy("rid", "_run").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.first("sure").alias("sure")).drop("_run")
+
+
+def annulus_runs(
+    points: DataFrame | PointOrder, centers: DataFrame, min_km: float, max_km: float, center: str = "center_id",
+    clat: str = "clat", clon: str = "clon", key: str = "id", lat: str = "lat", lon: str = "lon",
+) -> DataFrame:
+    """(centre, start, length) runs of positions of the points in the band.
+
+    The pairs of ``annulus`` without listing them: join a run's positions with
+    ``PointOrder.members`` where they are wanted.
+    """
+    check_band(min_km, max_km)
+    order = points if isinstance(points, PointOrder) else PointOrder(points, key, lat, lon)
+    asked = centers.select(F.col(center).alias("rid"), F.col(clat).cast("double").alias("qlat"), F.col(clon).cast("double").alias("qlon"),
+                           F.lit(float(min_km)).alias("lo"), F.lit(float(max_km)).alias("hi")).where("qlat is not null and qlon is not null")
+    runs = band_runs(order, cut(_asked(asked, "circle")), "circle")
+    return runs.select(F.col("rid").alias(center), "start", F.col("n").alias("length"))
+
+
+def _drawn(asked: DataFrame, runs: DataFrame, order: PointOrder, shape: str, seed: int, method: str, tries: int) -> DataFrame:
+    """rid, pid, plat, plon: the first of ``tries`` ranks that lies in the band."""
+    listed = runs.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "n", "sure"))).alias("runs"), F.sum("n").alias("total"))
+    draws = asked.join(listed, "rid").withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    rank = F.floor(unit_hash("rid", F.col("try") + F.lit(seed), method) * F.col("total")).cast("long")
+    nothing = F.struct(F.lit(-1).cast("long").alias("pos"), F.lit(False).alias("sure"), F.lit(0).cast("long").alias("cum"))
+    found = F.aggregate("runs", nothing, lambda acc, c: F.struct(
+        F.when((F.col("_r") >= acc["cum"]) & (F.col("_r") < acc["cum"] + c["n"]), c["start"] + F.col("_r") - acc["cum"]).otherwise(acc["pos"]).alias("pos"),
+        F.when((F.col("_r") >= acc["cum"]) & (F.col("_r") < acc["cum"] + c["n"]), c["sure"]).otherwise(acc["sure"]).alias("sure"),
+        (acc["cum"] + c["n"]).alias("cum")))
+    draws = draws.withColumn("_r", rank).withColumn("_f", found).drop("runs")
+    met = draws.select(*asked.columns, "try", "_f.pos", "_f.sure").join(order.members(), "pos").where(F.col("sure") | _accepted(shape))
+    return met.groupBy("rid").agg(F.min(F.struct("try", "pid", "plat", "plon")).alias("p")).select("rid", "p.pid", "p.plat", "p.plon")
 
 
 def pick_in_band(
@@ -120,186 +267,37 @@ def pick_in_band(
     seed: int = 0,
     method: str = "xx",
     tries: int = 4,
-    refine: int = 2,
 ) -> DataFrame:
     """A uniform point of the band around each request's position.
 
-    ``bands`` maps the value of column ``band`` to (min_km, max_km). All
-    points get one position along a space-filling order, so any aligned grid
-    cell is a run of positions and its size is a difference. A request draws a
-    position among the cells that meet its band, which costs one equi join
-    whatever the band holds, and redraws when the point falls outside.
-    Requests still open after ``tries`` draws go on with cells an eighth the
-    size; the last ones compare with the points of their band's cells.
+    ``bands`` maps the value of column ``band`` to (min_km, max_km). The
+    counted tree gives the band as runs of positions, opened until the border
+    cells hold little; a rank among them is a point, and one that falls
+    outside is drawn again, which keeps the pick uniform. Requests still open
+    after ``tries`` ranks open all their border cells and draw from exact runs.
     Requests without any point in their band give no row.
     """
-    ids = requests.select(
-        F.col(request).alias("rid"), F.col(band).cast("int").alias("band"),
-        F.col(lat).cast("double").alias("qlat"), F.col(lon).cast("double").alias("qlon"),
-    )
     for lo, hi in bands.values():
         check_band(lo, hi)
-    levels = {b: _level_for(hi / geo.KM_PER_LAT_DEGREE) for b, (_lo, hi) in bands.items()}
-    table = F.create_map(*[
-        x for b, (lo, hi) in bands.items()
-        for x in (F.lit(b), F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"), F.lit(levels[b]).alias("lvl")))
-    ])
-    ids = ids.withColumn("_b", table[F.col("band")]).where(F.col("_b").isNotNull())
-    ids = ids.select("rid", "band", "qlat", "qlon", F.col("_b.lo").alias("lo"), F.col("_b.hi").alias("hi"), F.col("_b.lvl").alias("lvl"))
-    ids = ids.withColumns({
-        "ilat": F.col("lo") / geo.KM_PER_LAT_DEGREE, "olat": F.col("hi") / geo.KM_PER_LAT_DEGREE,
-        "ilon": geo.east_degrees("qlat", F.col("lo")), "olon": geo.east_degrees("qlat", F.col("hi")),
-    })
-    open_, seen = cut_with(ids)
+    table = F.create_map(*[x for b, (lo, hi) in bands.items() for x in (F.lit(b), F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")))])
+    ids = requests.select(
+        F.col(request).alias("rid"), table[F.col(band).cast("int")].alias("_b"),
+        F.col(lat).cast("double").alias("qlat"), F.col(lon).cast("double").alias("qlon"),
+    ).where("_b is not null and qlat is not null and qlon is not null")
+    asked = cut(_asked(ids.select("rid", "qlat", "qlon", F.col("_b.lo").alias("lo"), F.col("_b.hi").alias("hi")), shape))
     order = points if isinstance(points, PointOrder) else PointOrder(points, key, lat, lon)
-
-    def accepted(plat: Column, plon: Column) -> Column:
-        if shape == "circle":
-            d = geo.haversine_m("qlat", "qlon", plat, plon)
-            return d.between(F.col("lo") * 1000, F.col("hi") * 1000)
-        dy, dx = F.abs(plat - F.col("qlat")), F.abs(plon - F.col("qlon"))
-        return (dy <= F.col("olat")) & (dx <= F.col("olon")) & ~((dy <= F.col("ilat")) & (dx <= F.col("ilon")))
-
-    result = None
-    for turn in range(refine):
-        lv = {b: min(l + 3 * turn, geo.MORTON_BITS) for b, l in levels.items()}
-        lvl = F.create_map(*[F.lit(x) for kv in lv.items() for x in kv])[F.col("band")]
-        here, here_seen = cut_with(_with_runs(open_.withColumn("lvl", lvl), order, sorted(set(lv.values())), turn > 0, shape))
-        if here_seen["rows"] == 0:
-            open_, open_rows = here.select(*open_.columns), 0
-            break
-        draws = here.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-        salt = F.col("try") + F.lit(seed + 1000 * turn)
-        r = F.floor(unit_hash("rid", salt, method) * F.col("total")).cast("long")
-        draws = draws.withColumn("_r", r)
-        run = F.element_at(F.filter("runs", lambda c: c["cum"] + c["n"] > F.col("_r")), 1)
-        draws = draws.withColumn("pos", (run["start"] + F.col("_r") - run["cum"]).cast("long")).drop("runs", "_r")
-        met = draws.join(order.members(), "pos").where(accepted(F.col("plat"), F.col("plon")))
-        won, won_seen = cut_with(met.groupBy("rid").agg(F.min(F.struct("try", "pid", "plat", "plon")).alias("p")))
-        part = won.select("rid", "p.pid", "p.plat", "p.plon")
-        result = part if result is None else result.unionByName(part)
-        # Requests whose cells are all empty have nothing in their band.
-        open_, open_seen = cut_with(
-            here.select("rid", "band", "qlat", "qlon", "lo", "hi", "lvl", "ilat", "olat", "ilon", "olon").join(
-                sized(won.select("rid"), won_seen["rows"]), "rid", "left_anti")
-        )
-        open_rows = open_seen["rows"]
-        if open_rows == 0:
-            break
-    if open_rows:
-        part = _pick_by_location(open_, order, {
-            b: min(l + 3 * (refine - 1), geo.MORTON_BITS) for b, l in levels.items()
-        }, accepted, shape, seed)
-        result = part if result is None else result.unionByName(part)
-    if result is None:
-        result = order.placed.limit(0).select(F.lit(0).alias("rid"), "pid", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    runs = cut(band_runs(order, asked, shape, LOOSE))
+    won, won_seen = cut_with(_drawn(asked, runs, order, shape, seed, method, tries))
+    some = runs.where("not sure").select("rid").distinct().join(sized(won.select("rid"), won_seen["rows"]), "rid", "left_anti")
+    left, seen = cut_with(asked.join(some, "rid", "left_semi"))
+    result = won
+    if seen["rows"]:
+        result = won.unionByName(_drawn(left, band_runs(order, left, shape), order, shape, seed + 1000, method, 1))
     return result.select(
         F.col("rid").alias(request), F.col("pid").alias("picked_id"), F.col("plat").alias("picked_lat"), F.col("plon").alias("picked_lon")
     )
 
 
-def _cell_sizes(placed: DataFrame, levels: list[int]) -> DataFrame:
-    """(lvl, code, x, y, start, n) of occupied cells at the given levels.
-
-    Points are counted at the finest level only; coarser cells add those up.
-    """
-    finest = max(levels)
-    shift = geo.MORTON_BITS - finest
-    cx, cy = geo.morton_xy("lat", "lon")
-    fine = placed.groupBy(
-        F.shiftright("z", 2 * shift).alias("code"), F.shiftright(cx, shift).alias("x"), F.shiftright(cy, shift).alias("y")
-    ).agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("n"))
-    at = F.array(*[
-        F.struct(
-            F.lit(l).alias("lvl"), F.shiftright("code", 2 * (finest - l)).alias("code"),
-            F.shiftright("x", finest - l).alias("x"), F.shiftright("y", finest - l).alias("y"),
-        ) for l in levels
-    ])
-    return fine.select(F.inline(at), "start", "n").groupBy("lvl", "code", "x", "y").agg(
-        F.min("start").alias("start"), F.sum("n").alias("n")
-    )
-
-
-def _band_cells(open_: DataFrame, order: PointOrder, levels: list[int], tight: bool, shape: str) -> DataFrame:
-    """Requests with ``cells``, the occupied cells meeting their band.
-
-    Cells are joined in blocks of 16 x 16, one row a block; a request's outer
-    box spans few blocks because cells scale with the band. The rows of one
-    request are not brought together yet.
-    """
-    n = F.pow(F.lit(2.0), F.col("lvl"))
-    def col_of(v: Column) -> Column:
-        return F.least(F.greatest(F.floor((v + 180.0) / 360.0 * n), F.lit(0)), n - 1).cast("long")
-    def row_of(v: Column) -> Column:
-        return F.least(F.greatest(F.floor((v + 90.0) / 180.0 * n), F.lit(0)), n - 1).cast("long")
-    # A hair wider, and for circles wide enough at the box's far latitude.
-    wide = F.lit(1.000001) if shape == "square" else F.lit(1.05)
-    q = open_.withColumns({
-        "x0": col_of(F.col("qlon") - F.col("olon") * wide), "x1": col_of(F.col("qlon") + F.col("olon") * wide),
-        "y0": row_of(F.col("qlat") - F.col("olat") * wide), "y1": row_of(F.col("qlat") + F.col("olat") * wide),
-    })
-    q = q.withColumn("bx", F.explode(F.sequence(F.shiftright("x0", 4), F.shiftright("x1", 4))))
-    q = q.withColumn("by", F.explode(F.sequence(F.shiftright("y0", 4), F.shiftright("y1", 4))))
-    w, h, f = F.lit(360.0) / n, F.lit(180.0) / n, 1.0 if shape == "square" else 0.7
-
-    def meets(c: Column) -> Column:
-        ok = c["x"].between(F.col("x0"), F.col("x1")) & c["y"].between(F.col("y0"), F.col("y1"))
-        if not tight:
-            return ok
-        # Cells wholly inside the inner box (or a square within the circle) hold nothing.
-        return ok & ~(
-            (c["x"] * w - 180.0 >= F.col("qlon") - F.col("ilon") * f) & ((c["x"] + 1) * w - 180.0 <= F.col("qlon") + F.col("ilon") * f)
-            & (c["y"] * h - 90.0 >= F.col("qlat") - F.col("ilat") * f) & ((c["y"] + 1) * h - 90.0 <= F.col("qlat") + F.col("ilat") * f)
-        )
-
-    met = q.join(order.blocks(levels), ["lvl", "bx", "by"]).withColumn("cells", F.filter("cells", meets))
-    return met.where(F.size("cells") > 0).select(*open_.columns, "cells")
-
-
-def _with_runs(open_: DataFrame, order: PointOrder, levels: list[int], tight: bool, shape: str) -> DataFrame:
-    """Requests with their cells as runs of positions and the total in them."""
-    cells = _band_cells(open_, order, levels, tight, shape).withColumn(
-        "cells", F.transform("cells", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n")))
-    )
-    # Cells of one request are bounded by geometry, not by points.
-    grouped = cells.groupBy(*open_.columns).agg(F.array_sort(F.flatten(F.collect_list("cells"))).alias("cells"))
-    runs = F.aggregate(
-        "cells",
-        F.struct(F.lit(0).cast("long").alias("cum"), F.array().cast("array<struct<start:bigint,n:bigint,cum:bigint>>").alias("runs")),
-        lambda acc, c: F.struct(
-            (acc["cum"] + c["n"]).alias("cum"),
-            F.concat(acc["runs"], F.array(F.struct(c["start"].alias("start"), c["n"].alias("n"), acc["cum"].alias("cum")))).alias("runs"),
-        ),
-    )
-    return grouped.withColumn("_f", runs).select(*open_.columns, F.col("_f.runs").alias("runs"), F.col("_f.cum").alias("total"))
-
-
-def _pick_by_location(
-    open_: DataFrame, order: PointOrder, lvl: dict[int, int], accepted, shape: str, seed: int
-) -> DataFrame:
-    """Exact pick for the last requests, by comparing distinct locations.
-
-    Points at one location count as one row with a weight, and the location
-    with the smallest exponential draw wins, so no pair of points is listed.
-    """
-    lvl_of = F.create_map(*[F.lit(x) for kv in lvl.items() for x in kv])[F.col("band")]
-    levels = sorted(set(lvl.values()))
-    cells = _band_cells(open_.withColumn("lvl", lvl_of), order, levels, True, shape)
-    pairs = cells.withColumn("code", F.explode(F.transform("cells", lambda c: c["code"]))).drop("cells")
-    spots = None
-    for l in levels:
-        one = order.placed.groupBy(
-            F.lit(l).alias("lvl"), F.shiftright("z", 2 * (geo.MORTON_BITS - l)).alias("code"),
-            F.col("lat").alias("plat"), F.col("lon").alias("plon"),
-        ).agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("n"))
-        spots = one if spots is None else spots.unionByName(one)
-    met = pairs.join(spots, ["lvl", "code"]).where(accepted(F.col("plat"), F.col("plon")))
-    draw = -F.log(F.lit(1.0) - unit_hash(["rid", "plat", "plon"], seed)) / F.col("n")
-    best = met.groupBy("rid").agg(F.min_by(F.struct("start", "n"), draw).alias("s"))
-    pos = (F.col("s.start") + F.floor(unit_hash("rid", seed + 77) * F.col("s.n"))).cast("long")
-    return best.select("rid", pos.alias("pos")).join(order.members(), "pos").select("rid", "pid", "plat", "plon")
-
-
 def random_destination(
     centers: DataFrame, addresses: DataFrame, r_min: float, r_max: float,
     center: str = "center_id", lat: str = "lat", lon: str = "lon", key: str = "id",

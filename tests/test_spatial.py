@@ -114,6 +114,37 @@ def test_annulus_pairs_and_checks(cloud):
             AN.annulus(ts, c, lo, hi)
 
 
+def test_annulus_runs_hold_all_pairs(spark, cloud):
+    t, q, ts, qs = cloud
+    d = haversine(q.qlat.values[:, None], q.qlon.values[:, None], t.lat.values[None], t.lon.values[None])
+    c = qs.select(F.col("qid").alias("center_id"), F.col("qlat").alias("clat"), F.col("qlon").alias("clon"))
+    order = AN.PointOrder(ts, *[x for x in ("tid", "id") if x in ts.columns][:1])
+    runs = AN.annulus_runs(order, c, 5.0, 20.0)
+    got = runs.withColumn("pos", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1))).select("center_id", "pos")
+    assert got.count() == got.distinct().count() == int(((d >= 5000) & (d <= 20000)).sum())
+    far = got.join(order.members(), "pos").join(c, "center_id").select(geo.haversine_m("clat", "clon", "plat", "plon").alias("m")).agg(F.min("m"), F.max("m")).first()
+    assert far[0] >= 5000 and far[1] <= 20000
+
+
+def test_crowds_are_few_runs_and_wrap(spark):
+    """Tens of thousands of points in a band are few rows, over the date line too."""
+    g = np.random.default_rng(8)
+    p = pd.DataFrame({"id": np.arange(40_000), "lat": g.normal(10, 0.3, 40_000), "lon": (g.normal(180, 0.3, 40_000) + 180) % 360 - 180})
+    order = AN.PointOrder(spark.createDataFrame(p))
+    c = spark.createDataFrame([(1, 10.0, 179.95), (2, 10.0, -179.9), (3, -60.0, 0.0), (4, None, 1.0)], "center_id int, clat double, clon double")
+    runs = AN.annulus_runs(order, c, 10.0, 60.0)
+    got = {r.center_id: (r.n, r.rows) for r in runs.groupBy("center_id").agg(F.sum("length").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
+    for k, lon in ((1, 179.95), (2, -179.9)):
+        d = haversine(10.0, lon, p.lat.values, p.lon.values)
+        assert got[k][0] == int(((d >= 10_000) & (d <= 60_000)).sum()) and got[k][1] < got[k][0] / 4
+    assert set(got) == {1, 2}
+    req = c.where("center_id < 4").select(F.col("center_id").alias("request_id"), F.col("clat").alias("lat"), F.col("clon").alias("lon"), F.lit(1).alias("tier"))
+    loose = AN.band_runs(order, AN._asked(req.select(F.col("request_id").alias("rid"), F.col("lat").alias("qlat"), F.col("lon").alias("qlon"),
+                         F.lit(10.0).alias("lo"), F.lit(60.0).alias("hi")), "circle"), "circle", AN.LOOSE)
+    rows = {r.rid: r["count"] for r in loose.groupBy("rid").count().collect()}
+    assert set(rows) == {1, 2} and max(rows.values()) < 400
+
+
 def test_band_pick_is_whole_and_uniform(spark):
     """Every request with a point in its band gets one, crowd or not."""
     g = np.random.default_rng(5)
