@@ -34,8 +34,6 @@ from .batches import ship
 WORD = r"[^\x20\x09-\x0D]+"
 SLOT_ROWS = 5_000
 FAN_IN = 256
-# Random walks tried for a group; the one with the least left over is taken.
-WALKS = 8
 
 
 def targets(sizes: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -110,11 +108,11 @@ def _level(df: DataFrame, keys: list[str], seed: int, last: bool) -> DataFrame:
     def close(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "doc_id", "mark"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         key = tuple(repr(pdf[k].iloc[0]) for k in keys)
-        walks = [pivot(pdf["size"].tolist(), pdf["p"].tolist(), _uniforms((seed, walk, *key), len(pdf))) for walk in range(WALKS)]
-        out, at, p = min(walks, key=lambda w: min(w[2], 1 - w[2]) * pdf["size"].iloc[w[1]] if w[1] >= 0 else 0)
+        draws = _uniforms((seed, *key), len(pdf) + 1)
+        out, at, p = pivot(pdf["size"].tolist(), pdf["p"].tolist(), draws)
         if at >= 0 and last:
-            # Nothing is left to pair with: the nearer whole number.
-            out[at] = int(p >= 0.5)
+            # Nothing is left to pair with: one more draw keeps its chance.
+            out[at] = int(draws[-1] < p)
         copies = pd.Series(out, dtype="Int64").replace(-1, pd.NA)
         pdf["copies"] = copies
         if at >= 0:

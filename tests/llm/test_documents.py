@@ -158,6 +158,22 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     assert one.gain.any() == np.False_
 
 
+def test_long_texts_are_learned_from(spark):
+    """A class whose texts are all long is learned, and the bytes stay bounded."""
+    said = {0: "good calm words here ", 1: "vile nasty slurs shouted "}
+    rows = [(k, said[k % 2] * (800 if k % 2 else 3)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    sample, prior = toxicity.training_rows(df, labels, toxicity.F.lit(True))
+    assert sample.count() == 60 and prior == 0.5
+    model = toxicity.fit(df, labels, toxicity.F.lit(True))
+    got = {r.d: r.s for r in toxicity.score(df, model).select(toxicity.F.col("_row.doc_id").alias("d"), toxicity.F.col("score").alias("s")).collect()}
+    assert all((got[k] >= 0.5) == (k % 2 == 1) for k in got)
+    few, _ = toxicity.training_rows(df, labels, toxicity.F.lit(True), most_bytes=100_000)
+    sizes = [(r.toxic, len(r.text)) for r in few.collect()]
+    assert sum(n for t, n in sizes if t == 1) <= 50_000 and {t for t, _ in sizes} == {0, 1} and sum(t == 0 for t, _ in sizes) == 30
+
+
 # --- passages ---------------------------------------------------------------------
 
 
@@ -325,6 +341,19 @@ def test_pivot_keeps_words_and_chances():
     assert np.allclose(counts / 4000, 0.3, atol=0.04)
 
 
+def test_mix_keeps_the_chance_of_every_document(spark):
+    """Two documents of unlike size in each of many sources, and of one large source."""
+    rows = [(2 * s + k, f"s{s:04d}", " ".join(["w"] * n)) for s in range(700) for k, n in enumerate((90, 50))]
+    rows += [(10_000 + k, "z", " ".join(["w"] * (90, 50, 7)[k % 3])) for k in range(1500)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), slot_rows=100).collect()
+    off = {}
+    for r in out:
+        each = r.target / r.source_size
+        off.setdefault((r.source == "z", r["size"]), []).append(r.copies - each)
+    assert len(out) == len(rows) and all(abs(np.mean(v)) < 4 * np.std(v) / len(v) ** 0.5 + 1e-9 for v in off.values())
+    assert any(np.std(v) > 0.2 for v in off.values())
+
+
 def test_mix_of_odd_rows(spark, odd_docs, no_docs):
     out = mixing.mix(odd_docs).collect()
     assert len(out) == 9 and sum(r["size"] == 0 and r.taken == 0 for r in out) == 3
