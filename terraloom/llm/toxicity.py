@@ -9,8 +9,9 @@ number per bucket and reads every text whole.
 
 Defined cases: null, empty and wordless texts get the score of the bias
 alone; without both classes among the training rows every text scores the
-share of label 1 (0 when there are none). Training rows are a sample of at
-most ``TRAIN_ROWS`` labelled rows for each class, the smallest by hash.
+share of label 1 (0 when there are none). Training rows are a bounded sample:
+at most ``TRAIN_ROWS`` texts of label 1 and twice as many of label 0, drawn by
+a hash whatever their length, and whole texts up to ``TRAIN_BYTES`` together.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import cut
 from .batches import ALNUM, Words, map_texts, slices, text_bytes
 
 TRAIN_ROWS = 2500
-LONGEST = 12_000
+TRAIN_BYTES = 32 << 20
 BITS = 17
 BUCKETS = 1 << BITS
 GRAMS = (3, 4, 5)
@@ -153,11 +156,14 @@ def _scores(texts: pa.Array, model: Model) -> list:
     return [pa.array(1 / (1 + np.exp(-np.clip(out, -500, 500))))]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int = TRAIN_ROWS, longest: int = LONGEST) -> tuple[DataFrame, float]:
+def training_rows(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> tuple[DataFrame, float]:
     """A bounded labelled sample, and the share of label 1 among all labels.
 
-    Texts join labels by doc_id. Ids whose labels disagree are left out; of
-    repeated ids the smallest text counts.
+    At most ``rows`` ids of label 1 and twice as many of label 0 are drawn by
+    a hash, texts of any length; of each label whole texts are taken in hash
+    order until half of ``most_bytes`` is used. Texts join labels by doc_id.
+    Ids whose labels disagree are left out; of repeated ids the smallest text
+    counts.
     """
     known = labels.where(allowed & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(
         F.min("toxic").alias("toxic"), F.max("toxic").alias("_high")).where("toxic = _high").drop("_high")
@@ -166,9 +172,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, allowed: Column, rows: int
     some = [known.where(F.col("toxic") == k).orderBy(mark, "doc_id").limit(n) for k, n in ((0, 2 * rows), (1, rows))]
     # At most 3 * rows ids, so the broadcast and the sample are bounded.
     picked = F.broadcast(some[0].unionByName(some[1]))
-    short = docs.where(F.length("text") <= longest).select("doc_id", "text").join(picked, "doc_id")
+    met = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(picked, "doc_id")
+    drawn = cut(met.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")))
+    upto = W.partitionBy("toxic").orderBy(mark, "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    fits = drawn.select("doc_id", "toxic", F.octet_length("text").cast("long").alias("size")).withColumn(
+        "upto", F.sum("size").over(upto)).where(F.col("upto") <= most_bytes // 2).select("doc_id")
     total = sum(counts.values())
-    return short.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")), counts.get(1, 0) / total if total else 0.0
+    return drawn.join(F.broadcast(fits), "doc_id", "left_semi"), counts.get(1, 0) / total if total else 0.0
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, **options) -> Model:
