@@ -3,34 +3,53 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..functions import geo
 from ..functions.hashing import unit_hash
-from ..scratch import cut
+from ..scratch import cut, cut_with
 
 FLAT_ROW_GROUP = 250_000
+ROW_GROUP_BYTES = 16 << 20
 
 
-def write_by_region(df: DataFrame, path: str, region: str = "region", rows_per_file: int = 5_000_000) -> DataFrame:
+def write_by_region(
+    df: DataFrame, path: str, region: str = "region", rows_per_file: int = 5_000_000, lat: str = "lat", lon: str = "lon",
+) -> DataFrame:
     """Parquet partitioned by region; returns rows written per region.
 
-    Rows without region are left out. A region is spread over as many files
-    as its size asks for, so one large region is not one task.
+    Rows without region are left out. Within a region rows follow a
+    space-filling curve over ``lat`` and ``lon`` (where the table has them),
+    so files and row groups cover small boxes and a box read skips most. Rows
+    are dealt out by range, so one large region is not one task and rows of
+    one place still spread.
     """
     kept = df.where(F.col(region).isNotNull())
-    counts = cut(kept.groupBy(region).agg(F.count(F.lit(1)).alias("rows")))
-    files = counts.select(region, F.ceil(F.col("rows") / rows_per_file).cast("int").alias("_files"))
+    counts, seen = cut_with(kept.groupBy(region).agg(F.count(F.lit(1)).alias("rows")), total=F.sum("rows"))
+    parts = max(1, -(-(seen["total"] or 0) // rows_per_file))
     cols = [F.col(c) for c in df.columns if c != region]
-    spread = kept.join(F.broadcast(files) if counts.count() <= 100_000 else files, region)
-    spread = spread.withColumn("_file", F.floor(unit_hash(cols, 0) * F.col("_files")).cast("int"))
-    spread.repartition(region, "_file").drop("_files", "_file").write.mode("overwrite").partitionBy(region).parquet(path)
+    place = [F.coalesce(geo.morton(*geo.morton_xy(lat, lon)), F.lit(-1)).alias("_z")] if {lat, lon} <= set(df.columns) else []
+    keyed = kept.select("*", *place, unit_hash(cols, 0).alias("_tie"))
+    order = [region, *(["_z"] if place else []), "_tie"]
+    (keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("_z", "_tie").write.mode("overwrite")
+     .option("maxRecordsPerFile", rows_per_file).option("parquet.block.size", ROW_GROUP_BYTES).partitionBy(region).parquet(path))
     return counts
 
 
+def read_box(
+    spark: SparkSession, path: str, code: str, south: float, west: float, north: float, east: float,
+    region: str = "region", lat: str = "lat", lon: str = "lon",
+) -> DataFrame:
+    """One region's rows in a box, bounds inclusive; row groups whose
+    coordinates lie outside of it are not read."""
+    return read_region(spark, path, code, region).where(F.col(lat).between(south, north) & F.col(lon).between(west, east))
+
+
 def read_region(spark: SparkSession, path: str, code: str, region: str = "region") -> DataFrame:
     """One region's rows by partition pruning; an unknown region is an error."""
     df = spark.read.parquet(path).where(F.col(region) == code)
@@ -67,6 +86,23 @@ def _existing(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def _replace(df: DataFrame, path: str) -> None:
+    """Store ``df`` in place of the table at ``path``: written beside it first,
+    so the old table stays until the new one is whole."""
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    fresh, old = f"{path.rstrip('/')}.new-{mark}", f"{path.rstrip('/')}.old-{mark}"
+    df.write.parquet(fresh)
+    named = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = named(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(named(path)) and not files.rename(named(path), named(old)):
+        raise RuntimeError(f"{path} can't be set aside")
+    if not files.rename(named(fresh), named(path)):
+        files.rename(named(old), named(path))
+        raise RuntimeError(f"{fresh} can't take the place of {path}")
+    files.delete(named(old), True)
+    spark.catalog.refreshByPath(path)
+
+
 def new_rows(df: DataFrame, target: DataFrame | None, key: str, order: str | None = None) -> DataFrame:
     """Rows of ``df`` whose key the target lacks, the first one per key."""
     first = W.partitionBy(key).orderBy(*([order] if order else [c for c in df.columns if c != key]))
@@ -103,11 +139,11 @@ def upsert(df: DataFrame, path: str, key: str) -> dict:
     spark = df.sparkSession
     target = _existing(spark, path)
     if target is None:
-        df.write.mode("overwrite").parquet(path)
+        _replace(df, path)
         return {"inserted": df.count(), "updated": 0, "unchanged": 0}
     target = cut(target)
     counts = upsert_counts(df, target, key).first().asDict()
-    cut(upserted(df, target, key)).write.mode("overwrite").parquet(path)
+    _replace(upserted(df, target, key), path)
     return counts
 
 
@@ -115,7 +151,7 @@ def reload(df: DataFrame, path: str) -> DataFrame:
     """Replace the stored table and check the row count that was written."""
     spark = df.sparkSession
     kept = cut(df)
-    kept.write.mode("overwrite").parquet(path)
+    _replace(kept, path)
     stored = spark.read.parquet(path)
     if stored.count() != kept.count():
         raise RuntimeError(f"{path} holds other rows than were written")
@@ -127,7 +163,7 @@ def truncate(spark: SparkSession, path: str) -> None:
     df = _existing(spark, path)
     if df is None:
         return
-    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
+    _replace(spark.createDataFrame([], df.schema), path)
     if not spark.read.schema(df.schema).parquet(path).isEmpty():
         raise RuntimeError(f"{path} is not empty")
 

@@ -91,6 +91,50 @@ def test_regional_and_flat_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).where("id = 1").first().lat == "0.3333333"
 
 
+def test_box_reads_touch_few_files(spark, tmp_path):
+    import glob
+
+    import numpy as np
+    import pandas as pd
+    import pyarrow.parquet as pq
+
+    g = np.random.default_rng(3)
+    p = pd.DataFrame({"id": np.arange(20_000), "region": "A", "lat": 50 + g.random(20_000), "lon": 4 + g.random(20_000)})
+    p.loc[:1999, ["lat", "lon"]] = [50.9, 4.9]
+    p.loc[19_000:, "region"] = "B"
+    p.loc[[5000, 5001], "lat"] = np.nan
+    path = str(tmp_path / "box")
+    assert {r.region: r.rows for r in WR.write_by_region(spark.createDataFrame(p), path, rows_per_file=500).collect()} == {"A": 19_000, "B": 1000}
+    box = (50.2, 4.3, 50.35, 4.45)
+    a = p[(p.region == "A") & p.lat.between(50.2, 50.35) & p.lon.between(4.3, 4.45)]
+    assert {r.id for r in WR.read_box(spark, path, "A", *box).collect()} == set(a.id)
+    groups = touched = 0
+    for f in glob.glob(f"{path}/region=A/*.parquet"):
+        m = pq.ParquetFile(f).metadata
+        names = [m.schema.column(c).name for c in range(m.num_columns)]
+        for k in range(m.num_row_groups):
+            (la, lo) = (m.row_group(k).column(names.index(c)).statistics for c in ("lat", "lon"))
+            groups += 1
+            touched += not la.has_min_max or (la.min <= 50.35 and la.max >= 50.2 and lo.min <= 4.45 and lo.max >= 4.3)
+    assert groups >= 30 and touched <= groups / 5
+
+
+def test_stored_tables_are_replaced_whole(spark, tmp_path):
+    """The old table stays when writing the new one fails, and nothing is left beside it."""
+    import os
+
+    path = str(tmp_path / "kept")
+    WR.reload(spark.createDataFrame([(1, "a")], "id long, v string"), path)
+    bad = spark.createDataFrame([(2, "b")], "id long, v string").select(F.raise_error(F.lit("broken")).cast("long").alias("id"), "v")
+    with pytest.raises(Exception, match="broken"):
+        WR._replace(bad, path)
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [(1, "a")]
+    WR.upsert(spark.createDataFrame([(1, "z"), (3, "c")], "id long, v string"), path, "id")
+    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {(1, "z"), (3, "c")}
+    WR.truncate(spark, path)
+    assert spark.read.parquet(path).count() == 0 and not [n for n in os.listdir(tmp_path) if ".old-" in n]
+
+
 def test_append_upsert_reload(spark, tmp_path):
     p = str(tmp_path / "t")
     a = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id long, v string")
