@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import cut
+from ..scratch import cut, cut_with, sized
 from .ranking import running_sum
 
+# Steps of the quantile summary between which a rank is looked for, and the
+# summary's accuracy: its ranks are off by at most a share of 1 / SKETCH.
+SPLITS, SKETCH = 128, 10_000
+
 
 def tag_identifiers(addresses: DataFrame, tags: str = "tags") -> DataFrame:
     """One row per counted tag of each address.
@@ -101,16 +105,37 @@ def nearest_rank(df: DataFrame, p: float, group: list[str], value: str) -> DataF
 def values_at_ranks(df: DataFrame, group: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
     """The values at some ranks of each group, one column per rank.
 
-    A rank is an expression of ``_n``, the group's number of values. Values
-    are counted first and ranked by running counts over range slices, so
-    neither a busy group nor an outlying value is sorted in one task.
+    A rank is an expression of ``_n``, the group's number of values. A
+    mergeable quantile summary brackets each rank between two of ``SPLITS``
+    steps; one more pass counts what lies below and the values inside, which
+    are few. Ranks that a bracket should miss are looked up without one.
     """
-    freq = cut(df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_w")))
-    upto = running_sum(freq, "_w", [F.col("_value")], group, name="_upto")
-    n = freq.groupBy(*group).agg(F.sum("_w").alias("_n"))
-    rows = upto.join(n, group)
-    at = [F.max(F.when((F.col("_upto") >= r) & (F.col("_upto") - F.col("_w") < r), F.col("_value"))).alias(k) for k, r in ranks.items()]
-    return rows.groupBy(*group).agg(*at)
+    rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("_value"))
+    steps = F.array(*[F.lit(k / SPLITS) for k in range(SPLITS + 1)])
+    sketch = cut(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_value", steps, SKETCH).alias("_s")))
+    asked = sketch.select(*group, "_n", "_s", F.inline(F.array(*[F.struct(F.lit(k).alias("_name"), r.cast("long").alias("_r")) for k, r in ranks.items()])))
+    # A step aside on both sides, which is far more than the summary's error.
+    low = (F.floor((F.col("_r") - 1) * SPLITS / F.col("_n")) - 1).cast("int")
+    high = (F.ceil(F.col("_r") * SPLITS / F.col("_n")) + 1).cast("int")
+    brackets, seen = cut_with(asked.select(
+        *group, "_name", "_r", F.when(low > 0, F.get("_s", low)).alias("_low"), F.when(high < SPLITS, F.get("_s", high)).alias("_high")))
+    found, figures = cut_with(_in_brackets(rows, brackets, seen["rows"], group))
+    if figures["rows"] < seen["rows"]:
+        missed = brackets.join(found.select(*group, "_name"), [*group, "_name"], "left_anti")
+        none = F.lit(None).cast(rows.schema["_value"].dataType)
+        found = found.unionByName(_in_brackets(rows, missed.withColumn("_low", none).withColumn("_high", none), seen["rows"], group))
+    return found.groupBy(*group).agg(*[F.max(F.when(F.col("_name") == k, F.col("_at"))).alias(k) for k in ranks])
+
+
+def _in_brackets(rows: DataFrame, brackets: DataFrame, n: int, group: list[str]) -> DataFrame:
+    """Group, _name, _at: the value at rank _r where it lies in its bracket."""
+    met = rows.join(sized(brackets, n), group).where(F.col("_high").isNull() | (F.col("_value") <= F.col("_high")))
+    # All values below the bracket are one row without a value, in front.
+    inside = F.when(F.col("_low").isNull() | (F.col("_value") >= F.col("_low")), F.col("_value"))
+    freq = cut(met.groupBy(*group, "_name", "_r", inside.alias("_at")).agg(F.count(F.lit(1)).alias("_w")))
+    upto = running_sum(freq, "_w", [F.col("_at")], [*group, "_name", "_r"], name="_upto")
+    hit = upto.where((F.col("_upto") >= F.col("_r")) & (F.col("_upto") - F.col("_w") < F.col("_r")) & F.col("_at").isNotNull())
+    return hit.select(*group, "_name", "_at")
 
 
 def run_summary(results: DataFrame, ok: str = "ok") -> DataFrame:

@@ -166,14 +166,15 @@ def _(spark, sf):
     try:
         a = D.active(spark, sf).where("start_time is not null").select(
             "employee_id", "active_id", F.col("start_time").cast("timestamp").alias("start_time"), "duration_s", "reward", "xp")
-        # All jobs in one file batch; one far later start moves the clock past
-        # every due time.
+        # All jobs in one batch of files; one far later start moves the clock
+        # past every due time.
         first = place(spark, "starts")
-        a.coalesce(1).write.parquet(first)
+        a.write.parquet(first)
+        files = len(spark.read.parquet(first).inputFiles())
         last = a.limit(1).select(F.lit(-1).cast("long").alias("employee_id"), F.lit(-1).cast("long").alias("active_id"),
                                  F.lit("2100-01-01").cast("timestamp").alias("start_time"), F.lit(1e9).alias("duration_s"), "reward", "xp")
         last.write.mode("append").parquet(first)
-        stream = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(first)
+        stream = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", files).parquet(first)
         done = ST.settle_stream(stream).select("employee_id", "active_id", "reward", "xp", F.unix_micros("completed_at").alias("completed_us"))
         return _drained(done, spark, "settled")
     finally:

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -253,6 +255,28 @@ def test_fine_ring_splits_its_own_cells_only(spark):
     assert got == want
 
 
+def test_values_at_ranks_are_exact(spark, monkeypatch):
+    """A hot group, ties, tiny groups, outliers and nulls; only the bracket is ranked."""
+    g = np.random.default_rng(6)
+    p = pd.DataFrame({"k": ["hot"] * 30_000 + ["ties"] * 3000 + ["two"] * 2 + ["one"], "v": np.concatenate([
+        g.lognormal(0, 3, 30_000), g.integers(0, 3, 3000), [1.0, 5.0], [7.0]])})
+    df = spark.createDataFrame(p).unionByName(spark.createDataFrame([("hot", None), ("none", None)], "k string, v double"))
+    held = []
+    monkeypatch.setattr(RP, "running_sum", lambda d, *a, old=RP.running_sum, **k: held.append(d.count()) or old(d, *a, **k))
+    n = F.col("_n")
+    ranks = {"low": F.floor((n + 1) / 2), "p95": F.greatest(F.ceil(n * 0.95), F.lit(1)), "top": n, "first": F.lit(1)}
+    got = {r.k: r for r in RP.values_at_ranks(df, ["k"], "v", ranks).collect()}
+    assert set(got) == {"hot", "ties", "two", "one"}
+    for k, part in p.groupby("k"):
+        v = np.sort(part.v.values)
+        want = (v[(len(v) + 1) // 2 - 1], v[max(math.ceil(len(v) * 0.95), 1) - 1], v[-1], v[0])
+        assert (got[k].low, got[k].p95, got[k].top, got[k].first) == want
+    assert len(held) == 1 and held[0] < 4 * 30_000 / 20
+    # A summary that lies about every step costs a second look, not the result.
+    monkeypatch.setattr(RP.F, "percentile_approx", lambda *a: F.array_repeat(F.lit(-1.0), RP.SPLITS + 1))
+    assert {r.k: r.low for r in RP.values_at_ranks(df, ["k"], "v", ranks).collect()} == {k: r.low for k, r in got.items()}
+
+
 def test_snap_stats_median(spark):
     df = spark.createDataFrame([(1.0,), (3.0,)], "distance double")
     assert RP.snap_stats(df).first().median_m == 2.0
