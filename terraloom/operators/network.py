@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -158,15 +161,62 @@ def connectivity_stats(pairs: DataFrame) -> DataFrame:
     return out.withColumn("merge_reduction_percent", _share(F.col("degree_2"), F.greatest("nodes", F.lit(1))))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+# Nodes that a task's disjoint sets hold before they are handed on.
+FOREST_NODES = 2_000_000
+
+
+def partition_forests(edges: DataFrame) -> DataFrame:
+    """u, v: edges that connect what ``edges`` (u, v, whole numbers) connect.
+
+    Disjoint sets of the edges of a partition; every node has one edge at
+    most, to the smallest node of its set. A partition of more than
+    ``FOREST_NODES`` nodes hands on several forests, so its memory is bounded.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while parent[top] != top:
+                top = parent[top]
+            while parent[x] != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        def forest() -> Iterator[pa.RecordBatch]:
+            nodes = [n for n in parent if root(n) != n]
+            for i in range(0, len(nodes), 100_000):
+                part = nodes[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([parent[n] for n in part], pa.int64())], ["u", "v"])
+            parent.clear()
+
+        for b in batches:
+            for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
+                parent.setdefault(u, u)
+                parent.setdefault(v, v)
+                low, high = sorted((root(u), root(v)))
+                parent[high] = low
+            if len(parent) >= FOREST_NODES:
+                yield from forest()
+        yield from forest()
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
+def connected_components(edges: DataFrame, forests: bool = False) -> DataFrame:
     """(node_id, component): component is the smallest node id reachable.
 
     Alternating star contraction (Kiveris et al. 2014). Each round takes the
     smallest neighbour by a combining aggregate and an equi join, so a hub is
     split by adaptive skew handling and no neighbour list is ever collected.
+    ``forests`` first leaves each partition with one edge a node, which pays
+    where neighbouring edges lie together, as along ways.
     """
     given = cut(edges.select("src", "dst"))
-    work = given.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct()
+    work = given.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v")
+    if forests:
+        work = partition_forests(work.select(F.col("u").cast("long"), F.col("v").cast("long")))
+    work = work.distinct()
     mark = dict(mark=F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")))
     work, last = cut_with(work, **mark)
     while True:

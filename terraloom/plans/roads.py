@@ -303,12 +303,12 @@ def edges(spark, sf):
 
 @query("connected_components", comp_sql("SELECT node_id, component FROM comp"))
 def _(spark, sf):
-    return NW.connected_components(edges(spark, sf))
+    return NW.connected_components(edges(spark, sf), forests=True)
 
 
 @query("largest_component", comp_sql("SELECT node_id FROM comp WHERE component = (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"))
 def _(spark, sf):
-    return NW.largest_component(NW.connected_components(edges(spark, sf)))
+    return NW.largest_component(NW.connected_components(edges(spark, sf), forests=True))
 
 
 REPORT = (
@@ -320,7 +320,7 @@ REPORT = (
 
 @query("component_report", comp_sql(REPORT))
 def _(spark, sf):
-    r = NW.component_report(NW.connected_components(edges(spark, sf)), D.nodes(spark, sf))
+    r = NW.component_report(NW.connected_components(edges(spark, sf), forests=True), D.nodes(spark, sf))
     return r.select("rank", "component", "size", F.round("percent", 6).alias("percent"), "sample_node",
                     *[F.round(c, 6).alias(c) for c in ("south", "north", "west", "east")])
 
@@ -332,7 +332,7 @@ def _(spark, sf):
 def _(spark, sf):
     from ..operators.tiles import build_tile_index, nearest
     from ..scratch import cut
-    comps = cut(NW.connected_components(edges(spark, sf)))
+    comps = cut(NW.connected_components(edges(spark, sf), forests=True))
     on_road = D.nodes(spark, sf).join(comps.select(F.col("node_id").alias("id")), "id", "left_semi")
     ix = build_tile_index(on_road, "id", "lat", "lon", metric="degrees")
     q = D.employees(spark, sf).select(F.col("employee_id").alias("id"), "lat", "lon")
@@ -348,7 +348,7 @@ BIG = ("big AS (SELECT node_id FROM comp WHERE component = (SELECT component FRO
 @query("trim_to_component", comp_sql(", " + BIG + "SELECT way_id AS id FROM kept").replace(") , big", "), big"))
 def _(spark, sf):
     o = D.osm(spark, sf)
-    return NW.trim_to_component(o, NW.largest_component(NW.connected_components(edges(spark, sf)))).ways.select("id")
+    return NW.trim_to_component(o, NW.largest_component(NW.connected_components(edges(spark, sf), forests=True))).ways.select("id")
 
 
 @query("trim_stats", comp_sql(", " + BIG + ", s AS (SELECT 'node' AS kind, (SELECT count(*) FROM big) AS kept, (SELECT count(*) FROM node) AS total UNION ALL "
@@ -357,7 +357,7 @@ def _(spark, sf):
 def _(spark, sf):
     from ..scratch import cut
     o = D.osm(spark, sf)
-    big = cut(NW.largest_component(NW.connected_components(edges(spark, sf))))
+    big = cut(NW.largest_component(NW.connected_components(edges(spark, sf), forests=True)))
     return NW.trim_stats(o, NW.trim_to_component(o, big)).withColumn("percent", F.round("percent", 6))
 
 
@@ -443,7 +443,7 @@ DIST = (
 @query("shortest_paths", comp_sql(", " + ARC + ", " + DIST + "SELECT a.source AS request_id, a.source, a.target, sp.d IS NOT NULL AS success, sp.d AS distance_m FROM ask a LEFT JOIN sp ON sp.source = a.source AND sp.node_id = a.target").replace(") , arc", "), arc").replace(") , ask", "), ask"))
 def _(spark, sf):
     from ..scratch import cut
-    comps = cut(NW.connected_components(edges(spark, sf)))
+    comps = cut(NW.connected_components(edges(spark, sf), forests=True))
     return RT.shortest_paths(arcs(spark, sf), node_trips(spark, sf, comps), with_steps=False).routes
 
 
@@ -534,7 +534,7 @@ def _(spark, sf):
 @query("goal_paths", comp_sql(", " + ARC + ", " + DIST + "SELECT a.source AS request_id, a.source, a.target, sp.d IS NOT NULL AS success, sp.d AS distance_m FROM ask a LEFT JOIN sp ON sp.source = a.source AND sp.node_id = a.target").replace(") , arc", "), arc").replace(") , ask", "), ask"))
 def _(spark, sf):
     from ..scratch import cut
-    comps, g = cut(NW.connected_components(edges(spark, sf))), cut(arcs(spark, sf))
+    comps, g = cut(NW.connected_components(edges(spark, sf), forests=True)), cut(arcs(spark, sf))
     asked = cut(node_trips(spark, sf, comps))
     ends = asked.select(F.explode(F.array("source", "target")).alias("node")).distinct()
     roads = RB.build_road_blocks(g, road_nodes(spark, sf), ends)

@@ -75,6 +75,23 @@ def test_components_with_hub_and_chain(spark):
     assert NW.largest_component(got).count() == 300
 
 
+def test_forests_leave_less_to_shuffle(spark, monkeypatch):
+    """Edges along ways, a hub and a dense cluster: equal components, fewer rows written."""
+    g = np.random.default_rng(7)
+    edges = [(100 * w + k, 100 * w + k + 1) for w in range(60) for k in range(40)] + [(100 * w, 100 * (w + 1)) for w in range(0, 60, 2)]
+    edges += [(int(a), int(b)) for a, b in g.integers(20_000, 20_060, (2500, 2))] + [(30_000, 30_000 + k) for k in range(1, 200)] + [(-5, -5)]
+    df = spark.createDataFrame(edges, "src long, dst long").coalesce(3)
+    want, written = components_by_hand(edges), []
+    monkeypatch.setattr(NW, "cut_with", lambda d, old=NW.cut_with, **k: (lambda out: written[-1].append(out[1]["rows"]) or out)(old(d, **k)))
+    for forests in (False, True):
+        written.append([])
+        got = NW.connected_components(df, forests)
+        assert {r.node_id: r.component for r in got.collect()} == want
+    assert written[1][0] < written[0][0] * 0.7 and sum(written[1]) < sum(written[0])
+    monkeypatch.setattr(NW, "FOREST_NODES", 50)
+    assert {r.node_id: r.component for r in NW.connected_components(df, True).collect()} == want
+
+
 def test_degrees_count_repeats(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 2), (2, 3)], "src long, dst long")
     assert {r.node_id: r.degree for r in NW.degrees(pairs).collect()} == {1: 2, 2: 3, 3: 1}
