@@ -12,6 +12,7 @@ from ..functions import tags as T
 from ..scratch import cut
 from .regions import RegionCover, assign_regions
 from .sampling import reservoir
+from .tiles import build_tile_index, nearest
 from .ways import network_ways
 
 
@@ -114,6 +115,21 @@ def with_address_fields(df: DataFrame) -> DataFrame:
     })
 
 
+def addresses_with_nodes(addresses: DataFrame, nodes: DataFrame, max_m: float | None = None) -> DataFrame:
+    """Address fields and the closest network node of every address.
+
+    Addresses without a node within ``max_m`` keep null node columns.
+    """
+    near = nearest(addresses, build_tile_index(nodes, "id", "lat", "lon"), "id", "lat", "lon", max_distance=max_m)
+    spots = nodes.select(F.col("id").alias("near_id"), F.col("lat").alias("closest_node_lat"), F.col("lon").alias("closest_node_lon"))
+    near = near.select("id", "near_id", F.col("distance").alias("distance_meters")).join(spots, "near_id")
+    tag = {c: T.tag("tags", c).alias(c) for c in ("addr:street", "addr:housenumber", "addr:postcode", "addr:city")}
+    base = addresses.select("id", F.col("lon").alias("address_lon"), F.col("lat").alias("address_lat"), *tag.values())
+    return base.join(near, "id", "left").select(
+        F.col("id").alias("address_id"), "address_lon", "address_lat", *[F.col(f"`{c}`") for c in tag],
+        F.col("near_id").alias("closest_node_id"), "closest_node_lon", "closest_node_lat", "distance_meters")
+
+
 def trim_network(osm: Osm, routable_only: bool = False) -> Osm:
     """Ways of the network and the bare nodes they reference."""
     ways = network_ways(osm.ways, routable_only)

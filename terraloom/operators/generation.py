@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.hashing import unit_hash
 from ..scratch import cut, cut_with
+from ..sources.writers import write_generated
 from .annulus import PointOrder, pick_in_band
 from .fleet import without_jobs
 from .roadblocks import build_road_blocks, goal_paths
@@ -119,3 +120,26 @@ def generate_jobs(
                             F.lit(0.0).alias("km"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0).alias("attempt"))
         rejects = empty.select("id", "lat", "lon", F.lit(1).alias("tier"), F.lit("").alias("reason"), F.lit(0).alias("attempt"))
     return Generated(jobs, rejects)
+
+
+def run_generation(
+    addresses: DataFrame, existing: DataFrame | None, route: Callable[[DataFrame], DataFrame], folder: str,
+    mode: str = "missing", dry_run: bool = False, **options,
+) -> dict:
+    """Generate and store jobs and rejects; returns counts by outcome.
+
+    ``mode='all'`` replaces what is stored, ``missing`` adds to it. A dry run
+    counts the addresses that would be worked on and stores nothing.
+    ``options`` go to ``generate_jobs``.
+    """
+    if dry_run:
+        todo = addresses if mode == "all" or existing is None else without_jobs(addresses, existing)
+        n = todo.count()
+        limit = options.get("limit")
+        return {"addresses": n if limit is None else min(n, limit)}
+    made = generate_jobs(addresses, existing, route, mode=mode, **options)
+    jobs, seen = cut_with(made.jobs)
+    rejects = cut(made.rejects)
+    write_generated(jobs, rejects, folder, mode)
+    reasons = {r["reason"]: r["n"] for r in rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {"addresses": seen["rows"] + sum(reasons.values()), "jobs": seen["rows"], **reasons}

@@ -62,6 +62,19 @@ def _(spark, sf):
     return EL.with_address_fields(D.nodes(spark, sf)).select("id", "street", "house_number", "postcode", "city")
 
 
+NODE_OF = hav("a.lat", "a.lon", "n.lat", "n.lon")
+
+
+@query("addresses_with_nodes", with_("refs way pair car_pair addr", "SELECT").removesuffix(" SELECT") + f", rnode AS (SELECT DISTINCT n AS id, {lat_of('n')} AS lat, {lon_of('n')} AS lon FROM (SELECT src AS n FROM car_pair UNION SELECT dst FROM car_pair)), "
+       f"best AS (SELECT a.id, arg_min(n.id, (round({NODE_OF}, 6), n.id)) AS node, min({NODE_OF}) AS d FROM addr a JOIN rnode n ON abs(a.lat - n.lat) < 0.2e0 AND abs(a.lon - n.lon) < 0.4e0 GROUP BY 1) "
+       f"SELECT id AS address_id, round(lon, 6) AS address_lon, round(lat, 6) AS address_lat, city AS \"addr:city\", round(d, 3) AS distance_meters FROM addr JOIN best USING (id)")
+def _(spark, sf):
+    tagged = D.addresses(spark, sf).select("id", "lat", "lon", F.create_map(F.lit("addr:city"), F.col("city")).alias("tags"))
+    out = EL.addresses_with_nodes(tagged, road_nodes(spark, sf))
+    return out.select("address_id", F.round("address_lon", 6).alias("address_lon"), F.round("address_lat", 6).alias("address_lat"),
+                      F.col("`addr:city`"), F.round("distance_meters", 3).alias("distance_meters"))
+
+
 @query("element_counts", with_("refs way node", "SELECT 'node' AS kind, count(*) AS elements FROM node UNION ALL SELECT 'way', count(*) FROM way UNION ALL "
        "SELECT 'relation', count(DISTINCT o_custkey) FROM orders UNION ALL SELECT 'total', (SELECT count(*) FROM node) + (SELECT count(*) FROM way) + (SELECT count(DISTINCT o_custkey) FROM orders)"))
 def _(spark, sf):

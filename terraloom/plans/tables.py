@@ -8,10 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import generation as GN
 from ..operators import progression as PG
 from ..operators import regions as RG
 from ..operators import reports as RP
-from ..scratch import scratch_root
+from ..scratch import cut, scratch_root
 from ..sources import readers as RD
 from ..sources import writers as WR
 from ..streaming import jobs as ST
@@ -93,6 +94,25 @@ def _(spark, sf):
     return WR.write_by_region(located_addresses(spark, sf), place(spark, "regional"))
 
 
+@query("generation_stored", "SELECT c_custkey AS id, c_custkey % 3 <> 0 AS is_new FROM customer")
+def _(spark, sf):
+    """One run for a third of the addresses, a dry run, and one for the rest."""
+    from .logistics import RANGES, addr_points, straight
+    a, folder = addr_points(spark, sf), place(spark, "generated")
+    jobs, rejects = (os.path.join(folder, n) for n in ("jobs", "rejects"))
+    first = a.where("id % 3 = 0")
+    GN.run_generation(first, None, straight, folder, "all", seed=1, method="linear", ranges=RANGES)
+    stored = spark.read.parquet(jobs)
+    done = stored.select("start_address").unionByName(spark.read.parquet(rejects).select(F.col("id").alias("start_address")))
+    done = cut(done)
+    if GN.run_generation(a, done, straight, folder, dry_run=True)["addresses"] != a.count() - done.count() or stored.count() != spark.read.parquet(jobs).count():
+        raise RuntimeError("a dry run wrote or counted wrongly")
+    GN.run_generation(a, done, straight, folder, seed=2, method="linear", ranges=RANGES)
+    every = spark.read.parquet(jobs).select(F.col("start_address").alias("id")).unionByName(spark.read.parquet(rejects).select("id"))
+    old = done.select(F.col("start_address").alias("id"), F.lit(False).alias("was"))
+    return every.join(old, "id", "left").select("id", F.coalesce("was", F.lit(True)).alias("is_new"))
+
+
 @query("flat_parquet", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def _(spark, sf):
     path = place(spark, "flat")

@@ -170,6 +170,9 @@ def truncate(spark: SparkSession, path: str) -> None:
 
 def write_generated(jobs: DataFrame, rejects: DataFrame, folder: str, mode: str = "missing") -> None:
     """Jobs and rejected addresses with reasons, side by side."""
-    how = "overwrite" if mode == "all" else "append"
-    jobs.write.mode(how).parquet(os.path.join(folder, "jobs"))
-    rejects.write.mode(how).parquet(os.path.join(folder, "rejects"))
+    for name, df in (("jobs", jobs), ("rejects", rejects)):
+        path = os.path.join(folder, name)
+        if mode == "all":
+            _replace(df, path)
+        else:
+            df.write.mode("append").parquet(path)
