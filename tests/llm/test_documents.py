@@ -294,6 +294,34 @@ def test_chains_find_the_near_run_behind_a_long_one():
         assert sum(seg[c, 2] for c in first) - passages.GAP_COST * sum(int(x.sum()) for x in gaps) == pytest.approx(max(best))
 
 
+def test_chains_of_repetitive_texts():
+    """Scores equal the quadratic search; steps grow in proportion to the runs."""
+    g = np.random.default_rng(12)
+    seg = np.unique(np.stack([g.integers(0, 400, 700), g.integers(0, 400, 700)], axis=1), axis=0)
+    seg = np.column_stack([seg, g.integers(1, 12, len(seg))])
+    seg = seg[np.lexsort((seg[:, 1], seg[:, 0]))]
+    best = np.zeros(len(seg))
+    for i, (x, y, k) in enumerate(seg):
+        a, b = x - seg[:i, 0] - seg[:i, 2], y - seg[:i, 1] - seg[:i, 2]
+        near = (a >= 0) & (b >= 0) & (a <= passages.MAX_GAP) & (b <= passages.MAX_GAP)
+        best[i] = k + max(0.0, (best[:i] - passages.GAP_COST * (a + b))[near].max(initial=0.0))
+    first = passages.chains(seg)[0]
+    gaps = sum(int((seg[b, :2] - seg[a, :2] - seg[a, 2]).sum()) for a, b in zip(first, first[1:], strict=False))
+    assert seg[first, 2].sum() - passages.GAP_COST * gaps == pytest.approx(best.max())
+    pushed = []
+    real = passages.heapq.heappush
+    passages.heapq.heappush = lambda heap, x: (pushed.append(1), real(heap, x))
+    try:
+        for n in (1000, 4000):
+            pushed.clear()
+            # Every run is near every other one in the second text.
+            rows = np.column_stack([np.arange(n) // 8, g.integers(0, 40, n), np.ones(n, int)])
+            passages.chains(rows[np.lexsort((rows[:, 1], rows[:, 0]))])
+            assert len(pushed) <= 12 * n
+    finally:
+        passages.heapq.heappush = real
+
+
 # --- mixing -----------------------------------------------------------------------
 
 
