@@ -4,7 +4,8 @@ A page is cut into text nodes, each with its path of tags from the root. Text
 length and punctuation are added up per path and divided by the path's nodes;
 both ratios are smoothed over the page in order, multiplied, and paths whose
 fused ratio reaches a share of its spread hold content. The smallest container
-with nearly all of that content is the article; its blocks are the text,
+with all of that content and all headings is the article (an ``article``,
+``main`` or ``body`` needs nearly all of the content); its blocks are the text,
 except what markup names as something else (menus, adverts, comments ...). A
 name is a hint only: it has to stand for the whole class, id or role, and what
 holds an article or nearly all of the text stays whatever its name, as do
@@ -50,7 +51,8 @@ BESIDE = {"list", "box", "block", "wrapper", "wrap", "container", "area", "secti
           "bar", "site", "page", "left", "right", "top", "bottom", "main", "primary", "secondary", "form", "slot", "unit", "button", "buttons", "icons", "group", "panel",
           "header", "inner", "outer", "global", "content", "stories", "thread", "media"}
 #: Elements whose names mean nothing, and those whose ids are places to jump to.
-TEXT_TAGS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+TEXT_TAGS = HEADINGS | {"p", "blockquote", "pre"}
 _ANCHORED = INLINE | {"section", "figure", "table", "li", "dt", "dd", "header"}
 #: Share of all text from which a name is not believed, without an article outside and within one.
 MOST, NEARLY_ALL = 0.5, 0.9
@@ -63,22 +65,44 @@ SPREAD_SHARE = 0.3
 
 
 class _Node:
-    __slots__ = ("drop", "hint", "parent", "path", "tag")
-
-    def __init__(self, tag: str, parent: _Node | None, drop: bool, hint: bool = False):
-        self.tag, self.parent, self.drop, self.hint = tag, parent, drop, hint
-        self.path = tag if parent is None else f"{parent.path}/{tag}"
+    """An element. What its ancestors say is copied down, so nothing walks up."""
 
+    __slots__ = ("article", "block", "drop", "hint", "holder", "order", "parent", "path", "tag")
 
-def _dropped(tag: str, attrs: str, parent: _Node | None) -> bool:
-    if parent is not None and parent.drop or tag in DROP_TAGS:
+    def __init__(self, tag: str, parent: _Node | None, page: _Page, drop: bool = False, hint: bool = False):
+        self.tag, self.parent, self.drop, self.hint = tag, parent, drop, hint
+        # A path is known by its parent's number and its last tag.
+        self.path = page.paths.setdefault((-1 if parent is None else parent.path, tag), len(page.paths))
+        self.article = tag == "article" or parent is not None and parent.article
+        #: The closest article or main part about it, itself included.
+        self.holder = self if tag in ("article", "main") else None if parent is None else parent.holder
+        self.block = self if parent is None or tag not in INLINE else parent.block
+        self.order = len(page.nodes)
+        page.nodes.append(self)
+
+
+class _Page:
+    """Elements in page order, parents first, and numbers of tag paths."""
+
+    def __init__(self):
+        self.nodes: list[_Node] = []
+        self.paths: dict[tuple[int, str], int] = {}
+
+    def added_up(self, own: list) -> list:
+        """Sums over each element and all inside it."""
+        out = list(own)
+        for x in reversed(self.nodes):
+            if x.parent is not None:
+                out[x.parent.order] += out[x.order]
+        return out
+
+
+def _dropped(tag: str, attrs: str, parent: _Node) -> bool:
+    if parent.drop or tag in DROP_TAGS:
         return True
     if tag == "header":
         # A header inside an article holds its title.
-        x = parent
-        while x is not None and x.tag != "article":
-            x = x.parent
-        return x is None
+        return not parent.article
     if not attrs or tag in ("article", "main", "body", "html"):
         return False
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", attrs))
@@ -99,59 +123,62 @@ def _named(tag: str, attrs: str) -> bool:
     return False
 
 
-def _within(node: _Node | None) -> Iterator[_Node]:
-    while node is not None:
-        yield node
-        node = node.parent
-
-
-def _unbelieved(parts: list[tuple[str, _Node]]) -> set[_Node]:
+def _unbelieved(page: _Page, parts: list[tuple[str, _Node]]) -> set[_Node]:
     """Elements with a name that hold too much to be what it says."""
-    inside, articles = defaultdict(int), defaultdict(int)
-    total = in_articles = 0
+    inside, articles = [0] * len(page.nodes), [0] * len(page.nodes)
     for t, node in parts:
         n = len("".join(t.split()))
-        chain, total = list(_within(node)), total + n
-        article = any(x.tag in ("article", "main") for x in chain)
-        in_articles += n * article
-        for x in chain:
-            inside[x] += n
-            articles[x] += n * article
+        inside[node.order] += n
+        articles[node.order] += n * (node.holder is not None)
+    total, in_articles = sum(inside), sum(articles)
+    inside, articles = page.added_up(inside), page.added_up(articles)
     out = set()
-    for x in [x for x in inside if x.hint]:
-        holder = next((y for y in _within(x.parent) if y.tag in ("article", "main")), None)
+    for x in page.nodes:
+        k = x.order
+        if not x.hint or not inside[k]:
+            continue
+        holder = x.parent.holder
         if holder is not None:
-            believed = inside[x] < NEARLY_ALL * inside[holder]
-        elif articles[x]:
+            believed = inside[k] < NEARLY_ALL * inside[holder.order]
+        elif articles[k]:
             # Teasers in a sidebar are articles too, but not most of them.
-            believed = 2 * articles[x] < in_articles
+            believed = 2 * articles[k] < in_articles
         else:
-            believed = in_articles > 0 or inside[x] < MOST * total
+            believed = in_articles > 0 or inside[k] < MOST * total
         if not believed:
             out.add(x)
     return out
 
 
-def blocks(page: str) -> list[tuple[str, _Node]]:
-    """Blocks of text with the element that holds each, in page order."""
-    node, raw, text, at = _Node("html", None, False), [], [], 0
+def blocks(text: str) -> tuple[_Page, list[tuple[str, _Node]]]:
+    """The page's elements, and blocks of text with the element that holds each."""
+    page, raw, parts, at = _Page(), [], [], 0
+    node = _Node("html", None, page)
+    # Open elements by tag: an end tag of none that is open is passed over.
+    opened: dict[str, int] = defaultdict(int)
 
     def close_block() -> None:
-        nonlocal text
-        if text:
-            raw.append(text)
-        text = []
+        nonlocal parts
+        if parts:
+            raw.append(parts)
+        parts = []
 
     def add(part: str) -> None:
         if part and not node.drop:
-            text.append((part, node))
+            parts.append((part, node))
 
-    while at < len(page):
-        m = _TOKEN.search(page, at)
+    def leave(last: _Node) -> None:
+        nonlocal node
+        while node is not last.parent:
+            opened[node.tag] -= 1
+            node = node.parent
+
+    while at < len(text):
+        m = _TOKEN.search(text, at)
         if m is None:
-            add(page[at:])
+            add(text[at:])
             break
-        add(page[at : m.start()])
+        add(text[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -160,44 +187,43 @@ def blocks(page: str) -> list[tuple[str, _Node]]:
         if tag not in INLINE:
             close_block()
         if m[1] or m[4]:
-            x = node
+            x = node if opened[tag] else None
             while x is not None and x.tag != tag:
                 # An end tag of an inline element never closes a block.
                 x = None if tag in INLINE and x.tag not in INLINE else x.parent
             if x is not None and x.parent is not None:
-                node = x.parent
+                leave(x)
             continue
         if tag in VOID:
             if tag == "br":
                 add(" ")
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
+            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(text, at)
+            at = end.end() if end else len(text)
             continue
         if tag == "html":
             continue
         ends = CLOSES.get(tag, () if tag in INLINE else {"p"})
-        x = node
-        while ends and x is not None and x.tag not in ends:
+        x = node if any(opened[e] for e in ends) else None
+        while x is not None and x.tag not in ends:
             x = None if x.tag in _SCOPE else x.parent
-        if ends and x is not None and x.parent is not None:
-            node = x.parent
-        node = _Node(tag, node, _dropped(tag, attrs, node), _named(tag, attrs))
+        if x is not None and x.parent is not None:
+            leave(x)
+        node = _Node(tag, node, page, _dropped(tag, attrs, node), _named(tag, attrs))
+        opened[tag] += 1
     close_block()
-    kept = _unbelieved([x for block in raw for x in block])
-    out, gone = [], {}
+    kept = _unbelieved(page, [x for block in raw for x in block])
+    gone: list[bool] = []
+    for x in page.nodes:
+        gone.append(x.hint and x not in kept or x.parent is not None and gone[x.parent.order])
+    out = []
     for block in raw:
-        stays = []
-        for part, x in block:
-            if x not in gone:
-                gone[x] = any(y.hint and y not in kept for y in _within(x))
-            if not gone[x]:
-                stays.append((part, x))
+        stays = [(part, x) for part, x in block if not gone[x.order]]
         joined = " ".join(entities.unescape("".join(part for part, _ in stays)).split())
         if joined:
-            out.append((joined, next(y for y in _within(stays[0][1]) if y.tag not in INLINE or y.parent is None)))
-    return out
+            out.append((joined, stays[0][1].block))
+    return page, out
 
 
 def _smooth(x: np.ndarray, radius: int = 2) -> np.ndarray:
@@ -208,9 +234,9 @@ def _smooth(x: np.ndarray, radius: int = 2) -> np.ndarray:
     return np.convolve(padded, k / k.sum(), mode="valid")
 
 
-def main_text(page: str | None) -> str:
+def main_text(text: str | None) -> str:
     """Blocks of the article, two line ends between them."""
-    found = blocks(page or "")
+    page, found = blocks(text or "")
     if not found:
         return ""
     paths = [h.path for _, h in found]
@@ -220,40 +246,30 @@ def main_text(page: str | None) -> str:
         marks[p] += len(_PUNCTUATION.findall(t))
         nodes[p] += 1
     fused = _smooth(np.array([length[p] / nodes[p] for p in paths])) * _smooth(np.array([marks[p] / nodes[p] for p in paths]))
-    of_path = defaultdict(list)
-    for p, f in zip(paths, fused, strict=True):
-        of_path[p].append(f)
     limit = SPREAD_SHARE * float(fused.std())
-    content = {p for p, f in of_path.items() if max(f) >= limit}
-    # Content held by each container; the article holds nearly all of it.
-    held, inside = defaultdict(float), defaultdict(set)
-    total = 0.0
+    content = {p for p, f in zip(paths, fused.tolist(), strict=True) if f >= limit}
+    # Characters of content in each element, and blocks that have to stay:
+    # content and headings. The article holds all of these.
+    chars, stays = [0] * len(page.nodes), [0] * len(page.nodes)
     for (t, h), p in zip(found, paths, strict=True):
-        if p in content:
-            total += len(t)
-            x = h
-            while x is not None:
-                held[x] += len(t)
-                if x.parent is not None and x.tag in CONTAINER:
-                    inside[x.parent].add(x)
-                x = x.parent
-    root = found[0][1]
-    while root.parent is not None:
-        root = root.parent
+        chars[h.order] += len(t) * (p in content)
+        stays[h.order] += p in content or h.tag in HEADINGS
+    chars, stays = page.added_up(chars), page.added_up(stays)
+    inside = defaultdict(list)
+    for x in page.nodes:
+        if x.parent is not None and x.tag in CONTAINER:
+            inside[x.parent].append(x)
+    root = page.nodes[0]
     while root.tag != "article":
-        below = [x for x in inside[root] if held[x] >= KEEP_SHARE * total]
+        # An article is taken at its word; beside any other container nothing may be lost.
+        below = [x for x in inside[root] if chars[x.order] >= KEEP_SHARE * chars[0] and (x.tag in ("article", "main", "body") or stays[x.order] == stays[root.order])]
         if not below:
             break
         root = below[0]
-
-    def under(x: _Node | None) -> bool:
-        while x is not None:
-            if x is root:
-                return True
-            x = x.parent
-        return False
-
-    return "\n\n".join(t for t, h in found if under(h))
+    under: list[bool] = []
+    for x in page.nodes:
+        under.append(x is root or x.parent is not None and under[x.parent.order])
+    return "\n\n".join(t for t, h in found if under[h.order])
 
 
 ADDED = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

@@ -4,9 +4,11 @@ import base64
 import hashlib
 import io
 import struct
+import tracemalloc
 import zipfile
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +111,46 @@ def test_names_inside_the_article():
     assert html.main_text(page).split("\n\n") == ["Title", "One sentence, and a bit more of it.", "Search", "The notice, as agreed, is a month.", "Kept, as a paragraph."]
 
 
+def test_text_beside_the_container_stays():
+    long = "One long paragraph, with words in it, and more of them. It goes on, as such texts do."
+    inner = f"<div><p>{long}</p><p>{long}</p></div>"
+    pages = {
+        f"<div><h1>Title</h1>{inner}<div>Closing paragraph.</div></div>": ["Title", long, long, "Closing paragraph."],
+        f"<body><div><h2>Title</h2>{inner}</div><footer>Us.</footer></body>": ["Title", long, long],
+        f"<body><div>{inner}</div><div><div><p>{long}</p></div></div><nav>Home</nav></body>": [long, long, long],
+    }
+    for page, text in pages.items():
+        assert html.main_text(page).split("\n\n") == text
+
+
+@pytest.mark.parametrize("page", ["<div>" * 40_000, "<font>x" * 28_000, "<div>x. " * 25_000, "<font><b>x</i></p>" * 11_000])
+def test_deep_nesting_takes_little_memory(page):
+    tracemalloc.start()
+    try:
+        text = html.main_text(page)
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
+    assert text.count("x") == page.count("x")
+
+
+def test_planted_boilerplate_goes_and_the_article_stays():
+    g = np.random.default_rng(21)
+    word = lambda: "".join(g.choice(list("abcdefghijkl"), int(g.integers(2, 9))))
+    said = lambda n: " ".join(word() for _ in range(n)) + "."
+    for k in range(60):
+        paragraphs = [", ".join(said(int(g.integers(6, 15))) for _ in range(3)) for _ in range(int(g.integers(3, 9)))]
+        title = said(5)
+        links = "".join(f"<li><a href=/{word()}>{word()}</a></li>" for _ in range(int(g.integers(3, 20))))
+        body = f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs)
+        tag = ("article", "main", "div")[k % 3]
+        around = [f"<nav><ul>{links}</ul></nav>", f"<div class=sidebar><ul>{links}</ul></div>", f"<div id=comments><p>{said(9)}</p></div>", f"<form>{said(4)}</form>",
+                  f"<script>{said(9)}</script>", f"<footer>{said(6)}</footer>", f"<div class=ad-box>{said(7)}</div>", f"<aside><p>{said(12)}</p></aside>"]
+        cut = int(g.integers(0, len(around)))
+        page = f"<html><body>{''.join(around[:cut])}<{tag}>{body}</{tag}>{''.join(around[cut:])}</body></html>"
+        assert html.main_text(page).split("\n\n") == [title, *paragraphs]
+
+
 # --- archives ---------------------------------------------------------------------
 
 
