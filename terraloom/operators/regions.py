@@ -245,16 +245,18 @@ def require_codes(regions: DataFrame, codes: list[str]) -> tuple[list[str], list
     return [c for c in codes if c not in missing], sorted(missing)
 
 
-def points_in_regions(points: DataFrame, regions: DataFrame, codes: list[str], **kw) -> tuple[DataFrame, list[str]]:
+def points_in_regions(
+    points: DataFrame, regions: DataFrame, codes: list[str], predicate: str = "within", **kw
+) -> tuple[DataFrame, list[str]]:
     """Inner join to several regions, and the codes no region has.
 
-    Unknown codes alone are an error.
+    Unknown codes alone are an error. ``predicate`` is that of ``assign_regions``.
     """
     known, missing = require_codes(regions, codes)
     if not known:
         raise ValueError(f"no region found among {missing}")
     cover = build_cover(regions.where(F.col("code").isin(known)))
-    return assign_regions(points, cover, how="inner", multi=True, predicate="within", **kw), missing
+    return assign_regions(points, cover, how="inner", multi=True, predicate=predicate, **kw), missing
 
 
 def points_in_region(points: DataFrame, regions: DataFrame, code: str, **kw) -> DataFrame:

@@ -64,6 +64,16 @@ def test_border_points_and_overlap(spark):
         RG.points_in_polygon(pts, df)
 
 
+def test_points_in_regions_can_hold_border_points(spark):
+    corner = lambda la, lo: F.struct(geo.mercator_x(lo).alias("x"), geo.mercator_y(la).alias("y"))
+    ring = F.array(F.array(F.array(*[corner(la, lo) for la, lo in ((10.0, 10.0), (10.0, 11.0), (11.0, 11.0), (11.0, 10.0))])))
+    df = spark.range(1).select(F.lit("XX0").alias("code"), ring.alias("polygons"))
+    pts = spark.createDataFrame([(1, 10.5, 10.5), (2, 10.0, 10.5), (3, 9.9, 10.5)], "id int, lat double, lon double")
+    def ids(**kw):
+        return {r.id for r in RG.points_in_regions(pts, df, ["XX0", "ZZ"], **kw)[0].collect()}
+    assert ids() == {1} and ids(predicate="covers") == {1, 2}
+
+
 def test_cells_shrink_when_crowded(spark):
     ring = [[[{"x": x, "y": y} for x, y in star(5e3, 5e3, 4e3, 400, 9)]]]
     df = spark.createDataFrame([("A", "A", "a", ring)], RG.REGION_SCHEMA)
