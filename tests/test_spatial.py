@@ -297,3 +297,21 @@ def test_nearest_rank(spark):
     df = spark.createDataFrame([("a", float(v)) for v in range(1, 101)] + [("b", 7.0)], "k string, v double")
     got = {r.k: r.value for r in RP.nearest_rank(df, 0.95, ["k"], "v").collect()}
     assert got == {"a": 95.0, "b": 7.0}
+
+
+def test_nearest_ranks_by_its_metric(spark):
+    """Targets on a lattice: distances that tie or nearly so, as in SQL."""
+    g = np.random.default_rng(5)
+    n = np.arange(4000)
+    t = pd.DataFrame({"id": n, "lat": 50 + 3 * (n * 7919 % 10007) / 10007, "lon": 3 + 5 * (n * 104729 % 10009) / 10009})
+    # A crowd makes split tiles whose neighbours are leaves of the level above.
+    t.loc[3000:, "lat"], t.loc[3000:, "lon"] = 51 + g.random(1000) * 1e-3, 4 + g.random(1000) * 1e-3
+    m = 5000011 + np.arange(500)
+    q = pd.DataFrame({"qid": np.arange(500), "qlat": 50 + 3 * (m * 7919 % 10007) / 10007, "qlon": 3 + 5 * (m * 104729 % 10009) / 10009})
+    q.loc[400:449, "qlat"], q.loc[400:449, "qlon"] = 51 + g.random(50) * 1.2e-3, 4 + g.random(50) * 1.2e-3
+    q.loc[450:, "qlat"], q.loc[450:, "qlon"] = 40 + g.random(50) * 45, g.random(50) * 359 - 179.5
+    ts, qs = spark.createDataFrame(t), spark.createDataFrame(q)
+    pairs = qs.crossJoin(ts).withColumn("d", geo.haversine_m("qlat", "qlon", "lat", "lon"))
+    want = {r.qid: (r.b.d, r.b.id) for r in pairs.groupBy("qid").agg(F.min(F.struct("d", "id")).alias("b")).collect()}
+    got = nearest(qs, build_tile_index(ts, "id", "lat", "lon"), "qid", "qlat", "qlon").collect()
+    assert {r.qid: (r.distance, r.near_id) for r in got} == want
