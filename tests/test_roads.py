@@ -1,4 +1,5 @@
 import heapq
+import math
 
 import numpy as np
 import pytest
@@ -221,3 +222,14 @@ def test_speed_cap(spark, m):
     assert [r.max_speed_kmh for r in got] == [0.0, 6.0, 25.0, 20.0]
     both = RT.concat_routes(pts, pts).orderBy("seq").collect()
     assert len(both) == 8 and both[-1].cum_time_s == 60.0 and both[-1].cum_dist_m == 1200.0
+
+
+def test_way_centres_do_not_depend_on_order(spark):
+    import itertools
+
+    lons = [3.0 + 5.0 * (k * 104729 % 10009) / 10009 for k in (1, 77, 4242, 9001, 123456)]
+    nodes = spark.createDataFrame([(i, 51.0, x) for i, x in enumerate(lons)], "id long, lat double, lon double")
+    orders = list(itertools.permutations(range(len(lons))))
+    ways = spark.createDataFrame([(n, list(o)) for n, o in enumerate(orders)], "id long, refs array<long>").coalesce(1)
+    got = EL.way_points(ways, nodes.coalesce(1)).select("lon").distinct().collect()
+    assert [r.lon for r in got] == [math.fsum(lons) / len(lons)]
