@@ -13,34 +13,54 @@ from pyspark.sql.types import StructType
 from ..operators.regions import RegionCover, assign_regions
 
 _DONE = "employee_id bigint, active_id bigint, reward double, xp bigint, completed_us bigint"
-_PENDING = "reward double, xp bigint, due_us bigint"
+_PENDING = "active_id bigint, reward double, xp bigint, due_us bigint"
 
 
 class _Settle(StatefulProcessor):
-    """Holds one running job until its time comes.
+    """Holds an employee's running jobs until their times come.
 
     Times are microseconds since the epoch, so the session's time zone, in
-    which pandas shows timestamps, plays no part.
+    which pandas shows timestamps, plays no part. There is always a timer at
+    the earliest due time held; calls to the state cost far more than rows,
+    so there is one timer for all jobs that arrive or stay together.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getValueState("pending", _PENDING)
+        self.pending = handle.getListState("pending", _PENDING)
+
+    def _wake(self, jobs: list[tuple]) -> None:
+        # Timers count in ms; round up so none fires early.
+        self.handle.registerTimer(-(-min(due for *_, due in jobs) // 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for df in rows:
-            for start_us, duration_s, reward, xp in zip(df["start_us"], df["duration_s"], df["reward"], df["xp"], strict=True):
-                due_us = int(start_us) + round(float(duration_s) * 1_000_000)
-                self.pending.update((float(reward), int(xp), due_us))
-                # Timers count in ms; round up so none fires early.
-                self.handle.registerTimer(-(-due_us // 1000))
+            jobs = [
+                (int(active), float(reward), int(xp), int(start_us) + round(float(duration_s) * 1_000_000))
+                for active, start_us, duration_s, reward, xp in zip(
+                    df["active_id"], df["start_us"], df["duration_s"], df["reward"], df["xp"], strict=True)
+            ]
+            if jobs:
+                self.pending.appendList(jobs)
+                self._wake(jobs)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.pending.exists():
-            reward, xp, due_us = self.pending.get()
+        fired, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        done, held = [], []
+        for job in self.pending.get():
+            due_ms = -(-job[3] // 1000)
+            (done if due_ms <= fired or due_ms < now else held).append(tuple(job))
+        if not done:
+            return
+        if held:
+            self.pending.put(held)
+            self._wake(held)
+        else:
             self.pending.clear()
-            yield pd.DataFrame({"employee_id": [key[0]], "active_id": [key[1]], "reward": [reward], "xp": [xp], "completed_us": [due_us]})
+        df = pd.DataFrame(done, columns=["active_id", "reward", "xp", "completed_us"])
+        df.insert(0, "employee_id", key[0])
+        yield df
 
     def close(self) -> None:
         pass
@@ -55,7 +75,7 @@ def settle_stream(starts: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """
     marked = starts.withWatermark("start_time", delay).dropDuplicatesWithinWatermark(["active_id"])
     timed = marked.withColumn("start_us", F.unix_micros("start_time"))
-    done = timed.groupBy("employee_id", "active_id").transformWithStateInPandas(
+    done = timed.groupBy("employee_id").transformWithStateInPandas(
         statefulProcessor=_Settle(), outputStructType=_struct(_DONE), outputMode="Append", timeMode="EventTime",
     )
     return done.select("employee_id", "active_id", "reward", "xp", F.timestamp_micros("completed_us").alias("completed_at"))

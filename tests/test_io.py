@@ -207,3 +207,55 @@ def settled(spark, tmp_path, zone):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     done = {(r.active_id, r.completed_at) for r in drain(ST.settle_stream(stream), f"settled_{zone}", tmp_path).collect()}
     assert done == {(1, t0 + dt.timedelta(seconds=60)), (3, t0 + dt.timedelta(hours=1))}
+
+
+def test_settlement_calls_state_once_per_arrival():
+    """Calls to the state don't grow with the jobs that arrive together."""
+    import pandas as pd
+
+    class Handle:
+        def __init__(self):
+            self.held, self.timers, self.calls = [], [], 0
+
+        def getListState(self, name, schema):
+            return self
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+            self.calls += 1
+
+        def appendList(self, jobs):
+            self.held += jobs
+            self.calls += 1
+
+        def put(self, jobs):
+            self.held = list(jobs)
+            self.calls += 1
+
+        def get(self):
+            return iter(self.held)
+
+        def clear(self):
+            self.held = []
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+        def getExpiryTimeInMs(self):
+            return self.ms
+
+    h, p = Handle(), ST._Settle()
+    p.init(h)
+    n = 100
+    rows = pd.DataFrame({"active_id": range(n), "start_us": 0, "duration_s": [1.0 + i for i in range(n)], "reward": 1.0, "xp": 1})
+    assert list(p.handleInputRows((7,), iter([rows]), None)) == []
+    assert h.calls == 2 and h.timers == [1000]
+    (out,) = p.handleExpiredTimer((7,), At(50_500), At(1000))
+    assert list(out.active_id) == list(range(50)) and set(out.employee_id) == {7}
+    assert h.timers[-1] == 51_000 and len(h.held) == 50
+    (out,) = p.handleExpiredTimer((7,), At(10**9), At(51_000))
+    assert list(out.active_id) == list(range(50, n)) and not h.held
