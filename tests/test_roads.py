@@ -233,3 +233,29 @@ def test_way_centres_do_not_depend_on_order(spark):
     ways = spark.createDataFrame([(n, list(o)) for n, o in enumerate(orders)], "id long, refs array<long>").coalesce(1)
     got = EL.way_points(ways, nodes.coalesce(1)).select("lon").distinct().collect()
     assert [r.lon for r in got] == [math.fsum(lons) / len(lons)]
+
+
+def test_finished_components_leave_the_rounds(spark, monkeypatch):
+    """Rows written follow the edges, however many rounds the longest path takes."""
+    import random
+
+    import terraloom.scratch as scratch
+    rng = random.Random(3)
+    ids = rng.sample(range(10**6), 4000 + 3000)
+    long, short = ids[:4000], ids[4000:]
+    edges = list(zip(long, long[1:], strict=False)) + [(a, b) for i, (a, b) in enumerate(zip(short, short[1:], strict=False)) if i % 3 < 2]
+    written = []
+
+    def counted(df, **metrics):
+        out = real(df, **metrics)
+        written.append(out[1]["rows"])
+        return out
+
+    real = scratch.cut_with
+    monkeypatch.setattr(scratch, "cut_with", counted)
+    monkeypatch.setattr(NW, "cut_with", counted)
+    got = {r.node_id: r.component for r in NW.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    want = {n: min(long) for n in long}
+    want.update({n: min(short[i - i % 3 : i - i % 3 + 3]) for i, n in enumerate(short)})
+    assert got == want
+    assert sum(written) < 11 * len(edges)
