@@ -125,3 +125,29 @@ def test_generation_rejects_detours_only_where_roads_make_them(spark):
     for r in jobs:
         assert (r.start_address < 1000) == (r.end_address < 1000)
         assert r.km == pytest.approx(abs(r.start_address - r.end_address) * 0.143)
+
+
+def test_small_components_take_no_rounds(spark):
+    """Many little graphs: searched in place, without landmarks or entry labels."""
+    g = np.random.default_rng(9)
+    arcs = [(f"{c}/{i}", 10 * c + int(a), 10 * c + int(b), int(m), int(v)) for c in range(40) for i, (a, b, m, v) in enumerate(
+        zip(g.integers(0, 8, 14), g.integers(0, 8, 14), g.integers(0, 9, 14), g.choice([0, 5, 30], 14), strict=True))]
+    nodes = [(10 * c + i, 50.0 + c / 100, 3.0 + i / 100) for c in range(40) for i in range(8)]
+    asked = [(c, 10 * c + int(a), 10 * c + int(b), int(v) if v else None) for c, (a, b, v) in enumerate(
+        zip(g.integers(0, 8, 40), g.integers(0, 8, 40), g.choice([0, 10], 40), strict=True))] + [(90, 3, 15, None)]
+    a = spark.createDataFrame(arcs, "arc_id string, src long, dst long, distance_m long, speed_kmh int")
+    requests = spark.createDataFrame(asked, "request_id long, source long, target long, max_speed_kmh int")
+    roads = RB.build_road_blocks(a, spark.createDataFrame(nodes, "id long, lat double, lon double"), per_block=50, landmarks=2)
+    p = RB.goal_paths(roads, requests, with_steps=True)
+    assert (roads.rounds, roads.written, p.rounds, p.written) == (0, 0, 0, 0)
+    arc, steps = {x[0]: x for x in arcs}, {}
+    for r in p.steps.orderBy("request_id", "seq").collect():
+        steps.setdefault(r.request_id, []).append(r)
+    for r in p.routes.collect():
+        _, s, t, limit = next(x for x in asked if x[0] == r.request_id)
+        want = (0, 0, 0) if s == t else least(arcs, s, limit).get(t)
+        assert ((r.distance_m, r.hops, r.drive_ms) if r.success else None) == want
+        if want:
+            path = steps[r.request_id]
+            assert path[0].node == s and path[-1].node == t and len(path) == want[1] + 1
+            assert sum(arc[x.arc_id][3] for x in path[1:]) == want[0]
