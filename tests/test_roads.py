@@ -9,6 +9,7 @@ from terraloom.operators import elements as EL
 from terraloom.operators import jobroutes as JR
 from terraloom.operators import network as NW
 from terraloom.operators import routing as RT
+from terraloom.scratch import cut_with
 from terraloom.sources.readers import NODE_SCHEMA, RELATION_SCHEMA, WAY_SCHEMA
 
 ROAD = {"highway": "residential"}
@@ -170,6 +171,27 @@ def test_shortest_paths_match_dijkstra(spark):
     RT.THIN_FRONT = 20_000
 
 
+def test_small_components_are_searched_in_place(spark, monkeypatch):
+    # Ties in length and hops, parallel arcs, one-way arcs.
+    arcs = [("a", 0, 1, 2), ("b", 0, 1, 2), ("c", 0, 2, 1), ("d", 2, 1, 1), ("e", 1, 3, 0), ("f", 2, 3, 1), ("g", 4, 3, 1), ("h", 3, 5, 2), ("i", 1, 5, 2), ("j", 9, 8, 1)]
+    asked = [(0, 0, 3), (1, 0, 5), (2, 3, 0), (3, 4, 5), (4, 0, 4), (5, 9, 8), (6, 9, 1), (7, None, 1), (8, 777, 777), (9, 0, 5)]
+    columns, requests = "arc_id string, src long, dst long, distance_m long", "request_id long, source long, target long"
+    written = []
+    monkeypatch.setattr(RT, "cut_with", lambda *a, **k: written.append(1) or cut_with(*a, **k))
+
+    def rows(arcs, asked):
+        p = RT.shortest_paths(spark.createDataFrame(arcs, columns), spark.createDataFrame(asked, requests), 20)
+        return sorted(map(tuple, p.routes.collect()), key=str), sorted(map(tuple, p.steps.collect()), key=str)
+
+    line = [(f"l{i}", 100 + i, 101 + i, 1) for i in range(40)]
+    near = rows(arcs + line, asked + [(10, 100, 118), (11, 100, 121)])
+    assert len(written) < 8  # does not follow the hops
+    assert {r[0]: r[4] for r in near[0] if r[3]} == {0: 2, 1: 4, 3: 3, 5: 1, 8: 0, 9: 4, 10: 18}
+    monkeypatch.setattr(RT, "NEAR_NODES", 0)
+    far = rows(arcs, asked)
+    assert far[0] == [r for r in near[0] if r[0] < 10] and far[1] == [r for r in near[1] if r[0] < 10]
+
+
 @pytest.fixture(scope="module")
 def small_graph(spark):
     nodes = line_nodes(spark, [1, 2, 3, 4])
