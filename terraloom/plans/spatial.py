@@ -259,7 +259,7 @@ def _(spark, sf):
 @query("annulus_counts", near_sql(f"SELECT q.id AS center_id, count(*) AS points FROM pt q, addr t WHERE {HV} BETWEEN 20000 AND 45000 GROUP BY 1"))
 def _(spark, sf):
     c = depots(spark, sf).select(F.col("id").alias("center_id"), F.col("lat").alias("clat"), F.col("lon").alias("clon"))
-    return AN.annulus_runs(D.addresses(spark, sf), c, 20.0, 45.0).groupBy("center_id").agg(F.sum("length").alias("points"))
+    return AN.annulus_counts(D.addresses(spark, sf), c, 20.0, 45.0)
 
 
 # --- samples -------------------------------------------------------------------

@@ -14,6 +14,7 @@ from terraloom.operators import regions as RG
 from terraloom.operators import reports as RP
 from terraloom.operators import sampling as SM
 from terraloom.operators.tiles import build_tile_index, nearest
+from terraloom.scratch import cut_with
 
 
 def star(cx, cy, r, n, seed):
@@ -182,6 +183,24 @@ def test_band_pick_is_whole_and_uniform(spark):
     assert (same.picked_id.sort_index() == got.picked_id.sort_index()).all()
 
 
+def test_band_joins_meet_few_candidates_and_write_little(spark, monkeypatch):
+    rows = [(i, 50.0 + 3 * ((i * 7919) % 10007) / 10007, 3.0 + 5 * ((i * 104729) % 10009) / 10009) for i in range(3000)]
+    pts = spark.createDataFrame(rows, "id long, lat double, lon double")
+    c = pts.where("id < 40").select(F.col("id").alias("center_id"), F.col("lat").alias("clat"), F.col("lon").alias("clon"))
+    order = AN.PointOrder(pts)
+    counts = {r[0]: r[1] for r in AN.annulus_counts(order, c, 20.0, 45.0).collect()}
+    pairs = {r[0]: r[1] for r in AN.annulus(pts, c, 20.0, 45.0).groupBy("center_id").count().collect()}
+    want = {r[0]: r[1] for r in pts.crossJoin(c).where(geo.haversine_m("clat", "clon", "lat", "lon").between(20000, 45000)).groupBy("center_id").count().collect()}
+    assert counts == want and pairs == want
+    # A walk writes no more than the cell and its run for each request.
+    kept = []
+    monkeypatch.setattr(AN, "cut_with", lambda df, **m: kept.append(df.columns) or cut_with(df, **m))
+    req = c.select(F.col("center_id").alias("request_id"), F.col("clat").alias("lat"), F.col("clon").alias("lon"), F.lit(1).alias("tier"))
+    assert AN.pick_in_band(req, order, {1: (20.0, 60.0)}, shape="circle", seed=5).count() == 40
+    walked = [k for k in kept if "side" in k]
+    assert walked and all(set(k) == {"rid", "lvl", "code", "start", "n", "leaf", "side"} for k in walked)
+
+
 def test_band_pick_counts(spark):
     """Picks from one centre spread evenly over the points in range."""
     pts = spark.createDataFrame([(i, 50.0 + 0.01 * i, 5.0) for i in range(20)], "id long, lat double, lon double")
