@@ -15,6 +15,8 @@ from ..functions.hashing import unit_hash
 from ..scratch import cut, cut_with
 
 FLAT_ROW_GROUP = 250_000
+#: Rows that one task of a regional write sorts at most, about.
+TASK_ROWS = 5_000_000
 ROW_GROUP_BYTES = 16 << 20
 
 
@@ -27,11 +29,14 @@ def write_by_region(
     space-filling curve over ``lat`` and ``lon`` (where the table has them),
     so files and row groups cover small boxes and a box read skips most. Rows
     are dealt out by range, so one large region is not one task and rows of
-    one place still spread.
+    one place still spread. A task writes many files where they are short:
+    tasks follow the cluster and the rows, not the files.
     """
     kept = df.where(F.col(region).isNotNull())
     counts, seen = cut_with(kept.groupBy(region).agg(F.count(F.lit(1)).alias("rows")), total=F.sum("rows"))
-    parts = max(1, -(-(seen["total"] or 0) // rows_per_file))
+    total = seen["total"] or 0
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(-(-total // rows_per_file), max(n, -(-total // TASK_ROWS))))
     cols = [F.col(c) for c in df.columns if c != region]
     place = [F.coalesce(geo.morton(*geo.morton_xy(lat, lon)), F.lit(-1)).alias("_z")] if {lat, lon} <= set(df.columns) else []
     keyed = kept.select("*", *place, unit_hash(cols, 0).alias("_tie"))

@@ -91,6 +91,21 @@ def test_regional_and_flat_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).where("id = 1").first().lat == "0.3333333"
 
 
+def test_short_files_do_not_make_tasks(spark, tmp_path):
+    import glob
+    import os
+
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "short")
+    df = spark.range(2000).select("id", F.format_string("R%d", F.col("id") % 3).alias("region"), (F.col("id") / 100.0).alias("lat"), (F.col("id") / 50.0).alias("lon"))
+    WR.write_by_region(df, path, rows_per_file=10)
+    files = glob.glob(f"{path}/region=*/*.parquet")
+    assert len({os.path.basename(f).split("-")[1] for f in files}) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(pq.read_metadata(f).num_rows for f in files) <= 10 and len(files) >= 200
+    assert {r.id for r in WR.read_region(spark, path, "R1").collect()} == set(range(1, 2000, 3))
+
+
 def test_box_reads_touch_few_files(spark, tmp_path):
     import glob
 
