@@ -149,6 +149,22 @@ def effects(purchases: DataFrame, upgrades: DataFrame, chunk: int = 10_000) -> D
     return whole.select("game_id", "effect", (F.col("f.a") * F.col("s.x") + F.col("f.b")).alias("value"))
 
 
+def levels_by_name(xp: str) -> Column:
+    """Level per category name and of the total, which no row of a request needs anew."""
+    names = [F.lit("total"), *[F.lit(c) for c in CATEGORIES]]
+    per = [level_of(F.coalesce(F.try_element_at(F.col(xp), F.lit(i)).cast("long"), F.lit(0).cast("long"))) for i in range(len(CATEGORIES))]
+    return F.map_from_arrays(F.array(*names), F.array(level_of(total_xp(xp)), *per))
+
+
+def levels_reached(levels: Column, have: str) -> Column:
+    """All level requirements hold; unknown category names are ignored."""
+    def ok(e: Column) -> Column:
+        level = F.try_element_at(F.col(have), e["key"])
+        return F.when(level.isNull(), F.lit(True)).otherwise(level >= e["value"])
+
+    return F.forall(F.map_entries(levels), ok)
+
+
 def levels_met(levels: Column, xp: str) -> Column:
     """All level requirements hold; unknown category names are ignored."""
     numbers = F.create_map(*[F.lit(x) for i, c in enumerate(CATEGORIES) for x in (c, i)])
@@ -201,35 +217,37 @@ def apply_purchases(games: DataFrame, requests: DataFrame, upgrades: DataFrame)
     purchases a game does not change, so its next purchase is the earliest
     later request it can afford: one aggregate per round for all games, and
     as many rounds as the longest purchase history, which the number of
-    upgrades bounds.
+    upgrades bounds. Requests that are past, owned or too dear stay so and
+    leave the rounds. Games and requests both grow, so they meet by shuffle.
     """
-    u = upgrades.select("upgrade_id", "requires", "levels", "cost", "kind", "effect", "amount")
-    reqs = requests.join(u, "upgrade_id").join(games.select("game_id", "xp"), "game_id")
-    reqs = cut(reqs.where(levels_met(F.col("levels"), "xp")).select(
-        "game_id", F.struct("seq", "request_id").alias("turn"), "upgrade_id", "requires", "cost", "kind", "effect", "amount"
+    u = F.broadcast(upgrades.select("upgrade_id", "requires", "levels", "cost", "kind", "effect", "amount"))
+    no_ids = F.array().cast("array<string>")
+    base = cut(games.select(
+        "game_id", F.col("money").cast("double").alias("money"), F.coalesce("upgrades", no_ids).alias("owned"),
+        F.coalesce("effects", F.map_from_arrays(no_ids, F.array().cast("array<double>"))).alias("eff"), levels_by_name("xp").alias("have"),
     ))
-    state = cut(games.select(
-        "game_id", F.col("money").cast("double").alias("money"),
-        F.coalesce("upgrades", F.array().cast("array<string>")).alias("owned"),
-        F.coalesce("effects", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))).alias("eff"),
-        F.lit(None).cast(reqs.schema["turn"].dataType).alias("last"),
-        F.array().cast("array<struct<turn:" + reqs.schema["turn"].dataType.simpleString() + ",upgrade_id:string,cost:double>>").alias("log"),
+    reqs = requests.join(u, "upgrade_id").join(base.select("game_id", "have").hint("merge"), "game_id")
+    live = cut(reqs.where(levels_reached(F.col("levels"), "have")).select(
+        "game_id", F.struct("seq", "request_id").alias("turn"), "upgrade_id", "requires", "cost", "kind", "effect", "amount"
     ))
+    asks, turn = live.columns, live.schema["turn"].dataType
+    state = cut(base.drop("have").withColumns({
+        "last": F.lit(None).cast(turn), "log": F.array().cast(f"array<struct<turn:{turn.simpleString()},upgrade_id:string,cost:double>>"),
+    }))
     while True:
-        able = reqs.join(state, "game_id").where(
+        live = cut(live.join(state.select("game_id", "money", "owned", "last").hint("merge"), "game_id").where(
             (F.col("last").isNull() | (F.col("turn") > F.col("last")))
             & ~F.array_contains("owned", F.col("upgrade_id"))
-            & (F.size(F.array_except("requires", "owned")) == 0)
             & (F.col("money") >= F.col("cost"))
-        )
-        nxt = able.groupBy("game_id").agg(F.min(F.struct("turn", "upgrade_id", "cost", "kind", "effect", "amount")).alias("n"))
+        ).select(*asks, (F.size(F.array_except("requires", "owned")) == 0).alias("able")))
+        nxt = live.where("able").groupBy("game_id").agg(F.min(F.struct("turn", "upgrade_id", "cost", "kind", "effect", "amount")).alias("n"))
         now = F.try_element_at("eff", F.col("n.effect"))
         value = (
             F.when(F.col("n.kind") == "multiply", F.coalesce(now, F.lit(1.0)) * F.col("n.amount"))
             .when(F.col("n.kind") == "increment", F.coalesce(now, F.lit(0.0)) + F.col("n.amount"))
             .otherwise(F.col("n.amount"))
         )
-        moved = state.join(nxt, "game_id", "left")
+        moved = state.join(nxt.hint("merge"), "game_id", "left")
         got = F.col("n").isNotNull()
         changed = F.map_concat(F.map_filter("eff", lambda k, _v: k != F.col("n.effect")), F.create_map(F.col("n.effect"), value))
         state, seen = cut_with(moved.select(
@@ -244,14 +262,14 @@ def apply_purchases(games: DataFrame, requests: DataFrame, upgrades: DataFrame)
         state = state.drop("got")
         if not seen["moved"]:
             break
-    out = games.join(state.select("game_id", F.col("money").alias("_m"), "owned", "eff"), "game_id").select(*[
+    out = games.join(state.select("game_id", F.col("money").alias("_m"), "owned", "eff").hint("merge"), "game_id").select(*[
         {"money": F.col("_m").alias("money"), "upgrades": F.col("owned").alias("upgrades"), "effects": F.col("eff").alias("effects")}.get(c, F.col(c))
         for c in games.columns
     ])
     # What each request met: the part of its game's short log before its turn.
     asked = requests.withColumn("turn", F.struct("seq", "request_id")).join(u.select("upgrade_id", "requires", "levels", "cost"), "upgrade_id", "left")
-    asked = asked.join(games.select("game_id", "xp", F.col("money").cast("double").alias("_m0"), F.coalesce("upgrades", F.array().cast("array<string>")).alias("_u0")), "game_id", "left")
-    asked = asked.join(state.select("game_id", "log"), "game_id", "left")
+    asked = asked.join(base.select("game_id", "have", F.col("money").alias("_m0"), F.col("owned").alias("_u0")).hint("merge"), "game_id", "left")
+    asked = asked.join(state.select("game_id", "log").hint("merge"), "game_id", "left")
     before = F.filter("log", lambda e: e["turn"] < F.col("turn"))
     owned = F.concat("_u0", F.transform(before, lambda e: e["upgrade_id"]))
     spent = F.aggregate(before, F.lit(0.0), lambda a, e: a + e["cost"])
@@ -260,7 +278,7 @@ def apply_purchases(games: DataFrame, requests: DataFrame, upgrades: DataFrame)
         F.when(F.col("log").isNull(), "no such game").when(F.col("cost").isNull(), "no such upgrade").when(won, "bought")
         .when(F.array_contains(owned, F.col("upgrade_id")), "already bought")
         .when(F.size(F.array_except("requires", owned)) > 0, "requirements")
-        .when(~levels_met(F.col("levels"), "xp"), "level").when(F.col("_m0") - spent < F.col("cost"), "funds").otherwise("funds")
+        .when(~levels_reached(F.col("levels"), "have"), "level").when(F.col("_m0") - spent < F.col("cost"), "funds").otherwise("funds")
     )
     return out, asked.select(*requests.columns, status.alias("status"))
 

@@ -121,6 +121,19 @@ def test_purchase_replay_matches_sequential(spark):
         assert r.money == pytest.approx(v["money"]) and r.upgrades == v["owned"] and r.effects == {k: pytest.approx(x) for k, x in v["eff"].items()}
 
 
+def test_purchase_replay_broadcasts_no_games(spark):
+    ups = PG.upgrade_rows()
+    gdf = spark.range(3000).select(F.col("id").alias("game_id"), F.lit(100.0).alias("money"), F.create_map(F.lit(0), F.lit(10 ** 6).cast("long")).alias("xp"),
+                                   F.array().cast("array<string>").alias("upgrades"), F.create_map().cast("map<string,double>").alias("effects"))
+    rdf = spark.range(6000).select(F.col("id").alias("request_id"), (F.col("id") % 3000).alias("game_id"), F.lit(ups[0][0]).alias("upgrade_id"), F.col("id").alias("seq"))
+    after, outcomes = PG.apply_purchases(gdf, rdf, PG.upgrade_table(spark))
+    assert {(r.status, r["count"]) for r in outcomes.groupBy("status").count().collect()} == {("bought", 3000), ("already bought", 3000)}
+    for df in (after, outcomes):
+        plan = df._jdf.queryExecution().toString()
+        # Only the short table of upgrades may be sent to all.
+        assert plan.count("SortMergeJoin") >= 1 and "game_id" not in "".join(x for x in plan.splitlines() if "BroadcastHashJoin" in x)
+
+
 def test_vehicle_replay_matches_sequential(spark):
     import math
 
