@@ -11,6 +11,7 @@ from terraloom.operators import network as NW
 from terraloom.operators import routing as RT
 from terraloom.scratch import cut_with
 from terraloom.sources.readers import NODE_SCHEMA, RELATION_SCHEMA, WAY_SCHEMA
+from terraloom.operators.regions import REGION_SCHEMA, build_cover
 
 ROAD = {"highway": "residential"}
 
@@ -117,6 +118,34 @@ def test_elements(spark):
     assert {r.kind: r.elements for r in EL.element_counts(osm).collect()} == {"node": 5, "way": 3, "relation": 1, "total": 9}
 
 
+def test_elements_are_built_once_and_spread(spark, monkeypatch):
+    from terraloom import scratch
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    nodes = spark.createDataFrame([(i, 50.0 + i / 100, 4.0 + i / 100, {"building": "house"} if i % 2 else {}) for i in range(60)], NODE_SCHEMA)
+    ways = ways_of(spark, [(100 + i, [i, i + 1, i + 2], {"building": "warehouse"}) for i in range(50)])
+    ways = ways.mapInArrow(count, ways.schema)
+    rel = spark.createDataFrame([(20, [("way", 100, "outer"), ("way", 101, "outer")], {"building": "house"})], RELATION_SCHEMA)
+    monkeypatch.setattr(scratch, "PART_ROWS", 10)
+    spread_by = []
+    real = scratch.spread
+    monkeypatch.setattr(EL, "spread", lambda df, rows, *keys: spread_by.append(real(df, rows, *keys)) or spread_by[-1])
+    got = {(r.id, r.is_way): r for r in EL.extract_addresses(EL.Osm(nodes, ways, rel)).collect()}
+    assert seen.value == 50 and len(got) == 30 + 50 + 1
+    assert got[(100, 1)].lat == pytest.approx(50.01) and got[(20, 0)].lat == pytest.approx(50.015)
+    assert max(d.rdd.getNumPartitions() for d in spread_by) == 15
+    square = spark.createDataFrame([("A", "X", "a", [[[(0.0, 6000000.0), (0.0, 7500000.0), (1000000.0, 7500000.0), (1000000.0, 6000000.0)]]])], REGION_SCHEMA)
+    seen.value = 0
+    places = EL.extract_places(EL.Osm(nodes, ways, rel), EL.category_rules(), build_cover(square)).collect()
+    assert seen.value == 50 and {(r.category, r.is_way) for r in places} == {("residential", 0), ("warehouse", 1)} and len(places) == 30 + 50 + 1
+
+
 def test_category_rules(spark, tmp_path):
     df = spark.createDataFrame([(1, {"office": "x", "shop": "car"}), (2, {"shop": "books"}), (3, {"building": "warehouse"})], "id long, tags map<string,string>")
     got = {r.id: r.c for r in df.select("id", EL.category_of(EL.category_rules()).alias("c")).collect()}
