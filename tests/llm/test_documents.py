@@ -232,6 +232,28 @@ def test_fuzzy_passages_down_to_four_in_five(spark):
     assert covered.keys() == spans.keys()
     assert all(len(spans[k] & covered[k]) >= 0.9 * len(spans[k]) for k in spans)
 
+def test_chains_alike_as_a_whole_are_found_in_bulk(monkeypatch):
+    import pyarrow as pa
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    words = [f"w{i}" for i in range(400)]
+    mine = words[50:130] + [f"x{i}" for i in range(30)]
+    hashes = passages._word_lists(pa.array([" ".join(mine)]))[0]
+    item = [{"doc": 7, "chain": chain, "base": 0, "words": hashes.tobytes()} for chain in ([0, 50, 80], [0, 50, 40, 41, 91, 39], [0, 50, 81], [0, 350, 80])]
+    kind = pa.list_(pa.struct([("doc", pa.int64()), ("chain", pa.list_(pa.int32())), ("base", pa.int32()), ("words", pa.binary())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([3]), pa.array([" ".join(words)]), pa.array([item], kind)], ["rep", "text", "items"])
+    slow = []
+    real = passages.align
+    monkeypatch.setattr(passages, "align", lambda *a: slow.append(a) or real(*a))
+    run = passages._align_all(Rows(), passages.MIN_WORDS, passages.SIMILARITY)
+    out = [r for b in run(iter([batch])) for r in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+    # Only the chains with a run that is not equal go one by one.
+    assert out == [(7, 3, 0, 80, 50, 130, 80)] * 2 and len(slow) <= 2
+
+
 def test_passages_of_shared_lines(spark):
     """A passage whose lines of under 50 words all occur alone in earlier documents."""
     g = np.random.default_rng(9)
