@@ -276,6 +276,51 @@ def test_passages_of_shared_lines(spark):
         assert len(covered[k] & set(range(lo, lo + 90))) >= 85
 
 
+def test_passage_whose_seeds_lie_in_others_before_and_between(spark):
+    """Neither the first document with a seed nor the last one before is its holder."""
+    g = np.random.default_rng(21)
+    word = lambda: "".join(g.choice(list("abcdefghijkl"), 6))
+    pad = lambda n: [word() for _ in range(n)]
+    part = pad(60)
+    fuzzy = [word() if i % 6 == 5 else w for i, w in enumerate(part)]
+    runs = [part[i : i + 5] for i in range(0, 60, 6)]
+    rows = [(k, pad(60) + run + pad(60)) for k, run in enumerate(runs)] + [(20, pad(30) + part + pad(40))]
+    rows += [(30 + k, pad(60) + run + pad(60)) for k, run in enumerate(runs)] + [(50, pad(25) + fuzzy + pad(25))]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    out = passages.passages(d).collect()
+    assert {(r.doc_id, r.other_id) for r in out} == {(50, 20)}
+    assert len(set(range(25, 85)) & {w for r in out for w in range(r.start, r.end)}) >= 54
+
+
+def test_links_are_all_runs_of_all_pairs():
+    import pyarrow as pa
+
+    g = np.random.default_rng(22)
+    texts = [[f"w{x}" for x in g.integers(0, 4, int(n))] for n in g.integers(3, 40, 12)]
+    seeds = list(zip(*passages._seeds(np.arange(12), pa.array([" ".join(t) for t in texts])), strict=True))
+    h, *rest = (np.concatenate(c) for c in seeds)
+    whole = [np.concatenate(c) for c in zip(*passages._links_of(h, *rest), strict=True)]
+    parts = list(passages._links_of(h, *rest, at_once=50))
+    assert max(len(p[0]) for p in parts) <= 50 and passages._n_links(h, *rest) == len(whole[0])
+    assert sorted(zip(*[np.concatenate(c) for c in zip(*parts, strict=True)], strict=True)) == sorted(zip(*whole, strict=True))
+    k, brute_runs = passages.K, set()
+    for d, a in enumerate(texts):
+        for r, b in enumerate(texts[:d]):
+            for x in range(len(a)):
+                for y in range(len(b)):
+                    if x and y and a[x - 1] == b[y - 1]:
+                        continue
+                    n = 0
+                    while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n]:
+                        n += 1
+                    if n >= k:
+                        brute_runs.add((d, r, x, y, n))
+    words = {}
+    for d, r, *_, n in brute_runs:
+        words[d, r] = words.get((d, r), 0) + n
+    assert {tuple(r) for r in passages._runs_of(*whole).tolist()} == {r for r in brute_runs if words[r[:2]] >= passages.LEAST_WORDS}
+
+
 def test_chains_equal_quadratic_search():
     g = np.random.default_rng(3)
     for _ in range(40):
