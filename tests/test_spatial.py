@@ -201,6 +201,36 @@ def test_band_joins_meet_few_candidates_and_write_little(spark, monkeypatch):
     assert walked and all(set(k) == {"rid", "lvl", "code", "start", "n", "leaf", "side"} for k in walked)
 
 
+def test_pairs_meet_written_cubes(spark):
+    """Centres spread over tasks; what finds the cubes is apart from what meets the points."""
+    pts = spark.createDataFrame([(i, 50.0 + i / 100, 5.0) for i in range(50)], "id long, lat double, lon double").coalesce(1)
+    c = pts.select(F.col("id").alias("center_id"), F.col("lat").alias("clat"), F.col("lon").alias("clon"))
+    pairs = AN.annulus(pts, c, 2.0, 9.0)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "LeftSemi" not in plan
+    got = {(r.center_id, r.id, r.distance_m) for r in pairs.collect()}
+    want = pts.crossJoin(c).withColumn("m", geo.haversine_m("clat", "clon", "lat", "lon")).where("m between 2000 and 9000")
+    assert got == {(r.center_id, r.id, r.m) for r in want.collect()} and got
+
+
+def test_walks_take_edges_from_the_cells(spark, monkeypatch):
+    """No power of two is taken for a request and a cell, and draws collect no lists."""
+    pts = spark.createDataFrame([(i, 50.0 + i % 40 / 40, 5.0 + i / 2000) for i in range(2000)], "id long, lat double, lon double")
+    req = pts.where("id % 40 = 7").select(F.col("id").alias("request_id"), "lat", "lon", F.lit(1).alias("tier"))
+    plans = []
+
+    def kept(df, **m):
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return cut_with(df, **m)
+
+    monkeypatch.setattr(AN, "cut_with", kept)
+    assert AN.pick_in_band(req, pts, {1: (5.0, 30.0)}).count() == 50
+    opened = [p for c, p in plans if "side" in c][1:]
+    assert opened and not any("POWER" in p for p in opened)
+    drawn = [p for c, p in plans if "pid" in c and "plat" in c]
+    assert drawn and not any("collect_list" in p for p in drawn)
+
+
 def test_band_pick_counts(spark):
     """Picks from one centre spread evenly over the points in range."""
     pts = spark.createDataFrame([(i, 50.0 + 0.01 * i, 5.0) for i in range(20)], "id long, lat double, lon double")
