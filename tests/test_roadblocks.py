@@ -1,6 +1,7 @@
 """Block routes against Dijkstra on (metres, hops, ms) and a router that makes detours."""
 
 import heapq
+import time
 
 import numpy as np
 import pytest
@@ -151,3 +152,29 @@ def test_small_components_take_no_rounds(spark):
             path = steps[r.request_id]
             assert path[0].node == s and path[-1].node == t and len(path) == want[1] + 1
             assert sum(arc[x.arc_id][3] for x in path[1:]) == want[0]
+
+
+def test_small_components_are_traced_with_the_search(spark, monkeypatch):
+    """Their paths are not searched again, so no entry row or block is dealt out for them."""
+    a = spark.createDataFrame([(f"a{i}", i, i + 1, 5, 30) for i in range(6)], "arc_id string, src long, dst long, distance_m long, speed_kmh int")
+    n = spark.createDataFrame([(i, 50.0 + i / 100, 3.0) for i in range(7)], "id long, lat double, lon double")
+    asked = spark.createDataFrame([(1, 0, 4), (2, 5, 2), (3, 3, 3)], "request_id long, source long, target long")
+    monkeypatch.setattr(RB, "_traced", lambda *a: pytest.fail("searched again"))
+    p = RB.goal_paths(RB.build_road_blocks(a, n), asked, with_steps=True)
+    assert [tuple(r) for r in p.steps.orderBy("request_id", "seq").collect()] == [
+        (1, 0, 0, None), (1, 1, 1, "a0"), (1, 2, 2, "a1"), (1, 3, 3, "a2"), (1, 4, 4, "a3"), (3, 0, 3, None)]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from terraloom import scratch
+
+    def files():
+        disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+    was, before = files(), spark.conf.get(scratch._CLEANUP, None)
+    df = scratch.cut(spark.range(1000).repartition(7).groupBy((F.col("id") % 10).alias("k")).count())
+    until = time.time() + 20
+    while files() - was and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - was and df.count() == 10 and spark.conf.get(scratch._CLEANUP, None) == before
